@@ -1,0 +1,50 @@
+"""Join of a fact table to a unique lookup table when a few keys hold much of the facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1e-4
+HOT_ROWS = 100_000
+SALTS = 64
+
+
+def salted_lookup(
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str = "left",
+    hot_share: float = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``facts`` joined to ``lookup`` (unique on ``key``), hot keys spread over ``salts``.
+
+    A key is hot with more than ``hot_rows`` rows and more than ``hot_share`` of all
+    rows, so there are at most ``1 / hot_share`` hot keys: that bounds the broadcast and
+    the lookup rows that are repeated. All other rows carry salt 0 and join as usual.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"unsupported join: {how}")
+    counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
+    total = facts.agg(F.count("*")).scalar()
+    hot = (
+        counts.filter((F.col("_n") > hot_rows) & (F.col("_n") > total * F.lit(hot_share)))
+        .filter(F.col(key).isNotNull())
+        .select(key, F.lit(True).alias("_hot"))
+    )
+    hot = F.broadcast(hot)
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    row = F.xxhash64(*[c for c in facts.columns if c != key]) if len(facts.columns) > 1 else F.rand(7)
+    spread = F.pmod(row, F.lit(salts)) if len(facts.columns) > 1 else F.floor(row * salts)
+    left = (
+        facts.join(hot, key, "left")
+        .withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)).cast("int"))
+        .drop("_hot")
+    )
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = (
+        lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    )
+    return left.join(right, [key, "_salt"], how).drop("_salt")
