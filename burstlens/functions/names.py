@@ -83,23 +83,20 @@ def label_line(
     ``array<double>``; incomplete trailing keypoints count as zeros.
     """
     w, h = width.cast("double"), height.cast("double")
-    box_x, box_y, box_w, box_h = (F.get(box, F.lit(i)) for i in range(4))
-    parts: list[Column] = [
-        F.lit(str(class_id)),
-        fixed6((box_x + box_w / 2) / w),
-        fixed6((box_y + box_h / 2) / h),
-        fixed6(box_w / w),
-        fixed6(box_h / h),
-    ]
+    x, y, dx, dy = (F.get(box, F.lit(i)) for i in range(4))
+    cells = [(x + dx / 2) / w, (y + dy / 2) / h, dx / w, dy / h]
     for i in range(len(C.KEYPOINT_NAMES)):
         complete = F.size(keypoints) > 3 * i + 2
         kx, ky, kv = (F.get(keypoints, F.lit(3 * i + j)) for j in range(3))
-        parts += [
-            F.when(complete, fixed6(kx / w)).otherwise(F.lit("0.000000")),
-            F.when(complete, fixed6(ky / h)).otherwise(F.lit("0.000000")),
-            F.when(complete, kv.cast("int").cast("string")).otherwise(F.lit("0")),
-        ]
-    return F.concat_ws(" ", *parts)
+        cells += [F.when(complete, c).otherwise(F.lit(0.0)) for c in (kx / w, ky / h, kv)]
+    # One pass over the numbers; from the fifth on, every third is a visibility.
+    texts = F.transform(
+        F.array(*cells),
+        lambda v, i: F.when((i >= 4) & (i % 3 == 0), v.cast("int").cast("string")).otherwise(
+            fixed6(v)
+        ),
+    )
+    return F.array_join(F.concat(F.array(F.lit(str(class_id))), texts), " ")
 
 
 def strip_keypoints(line: Column, n_tokens: int = 5) -> Column:

@@ -18,34 +18,45 @@ def scaled_half_even(x: Column, digits: int) -> Column:
     """``x * 10^digits`` rounded half-even on the exact value, as a whole double.
 
     Exact for ``digits <= 6`` and ``|x| < 1e6``: the 26-bit halves of ``x`` times
-    ``5^digits`` (at most 14 bits) fit a 53-bit significand.
+    ``5^digits`` (at most 14 bits) fit a 53-bit significand. Only products close to a tie
+    take the exact way.
     """
     scale = float(10**digits)
-    x = x.cast("double")
+    plain = x * scale
+    near_tie = F.abs(F.abs(plain - F.rint(plain)) - 0.5) < 1e-3
     wide = x * _SPLITTER
     high = wide - (wide - x)
     low = (x - high) * scale
     high = high * scale
     near = F.rint(high + low)
-    rest = (high - near) + low
+    # Distances of ``low`` to the ties above and below; both sides are exact.
+    above, below = 0.5 - (high - near), -0.5 - (high - near)
     odd = near - 2 * F.floor(near / 2) != 0
-    return (
-        F.when((rest > 0.5) | ((rest == 0.5) & odd), near + 1)
-        .when((rest < -0.5) | ((rest == -0.5) & odd), near - 1)
+    exact = (
+        F.when((low > above) | ((low == above) & odd), near + 1)
+        .when((low < below) | ((low == below) & odd), near - 1)
         .otherwise(near)
     )
+    return F.when(near_tie, exact).otherwise(F.rint(plain))
 
 
 def exact_round(x: Column, digits: int) -> Column:
     """Nearest double to ``x`` rounded half-even at ``digits`` decimals."""
-    return scaled_half_even(x, digits) / float(10**digits)
+    # The one-element array binds ``x``, so that a formula is evaluated once.
+    rounded = F.transform(
+        F.array(x.cast("double")), lambda v: scaled_half_even(v, digits) / float(10**digits)
+    )
+    return F.get(rounded, F.lit(0))
 
 
 def fixed6(x: Column) -> Column:
-    """``x`` with exactly six decimals, rounded on its exact value."""
-    x = x.cast("double")
-    units = F.abs(scaled_half_even(x, 6)).cast("bigint")
+    """``x`` (a double) with exactly six decimals, rounded on its exact value.
+
+    The expression repeats ``x``; give it a column or a lambda variable, not a formula.
+    """
+    units = F.abs(scaled_half_even(x, 6)).cast("bigint").cast("string")
+    digits = F.lpad(units, 7, "0")
+    digits = F.when(F.length(units) > 7, units).otherwise(digits)
     negative = (x < 0) | ((x == 0) & (x.cast("string") == "-0.0"))
-    whole = F.floor(units / 1_000_000).cast("string")
-    part = F.lpad((units % 1_000_000).cast("string"), 6, "0")
-    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."), part)
+    point = F.regexp_replace(digits, r"(\d{6})$", r".$1")
+    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), point)

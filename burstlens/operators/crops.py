@@ -88,10 +88,12 @@ def measure_eyes(joined: DataFrame, bgr: bool = True) -> DataFrame:
     bring the moments back to the image.
     """
     w, h, turn = F.col("width"), F.col("height"), F.col("orientation")
-    lines = {}
-    for i in (0, 1):
-        mine = F.filter("windows", lambda item, i=i: item["eye_idx"] == i)
-        lines[f"_lines{i}"] = window_lines(F.get(mine, F.lit(0))["window"], w, h, turn)
+
+    def lines_of(eye_idx: int) -> Column:
+        mine = F.filter("windows", lambda item: item["eye_idx"] == eye_idx)
+        return window_lines(F.get(mine, F.lit(0))["window"], w, h, turn)
+
+    lines = {f"_lines{i}": lines_of(i) for i in (0, 1)}
     cut = joined.withColumns(lines).drop("data", "windows")
     measured = {
         f"m{i}": P.scanline_moments(F.col(f"_lines{i}"), F.col("n_channels"), turn, bgr)

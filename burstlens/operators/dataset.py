@@ -83,7 +83,10 @@ def conversion_stats(classified: DataFrame) -> DataFrame:
 def with_keypoints(pivoted: DataFrame) -> DataFrame:
     """Adds the flat ``keypoints`` vector and ``num_keypoints``; needs part and box columns."""
     marks = L.keypoint_marks(part_columns(), box_column())
-    flat = pivoted.withColumn("keypoints", L.flatten_marks(marks))
+    # Marks become columns before they are taken apart, so that each is computed once.
+    named = pivoted.withColumns({f"_{name}": mark for name, mark in marks.items()})
+    columns = {name: F.col(f"_{name}") for name in marks}
+    flat = named.withColumn("keypoints", L.flatten_marks(columns)).drop(*[f"_{n}" for n in marks])
     return flat.withColumn("num_keypoints", L.num_keypoints(F.col("keypoints")))
 
 

@@ -333,7 +333,7 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT i.id AS image_id, i.file_name, i.width, i.height, v.id AS ann_id, v.bw,
+    """SELECT i.id AS image_id, i.file_name, i.width, i.height, v.id AS ann_id, v.box_w,
   v.k0 AS beak_x
 FROM (SELECT image_id AS id, file_name, width, height FROM v_kept) i
 LEFT JOIN v_vectors v ON i.id = v.image_id"""

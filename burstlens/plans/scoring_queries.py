@@ -374,7 +374,8 @@ def _with_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT i.image_id, coalesce(string_agg(concat_ws('|', e.eye_side, e.visibility,
-    concat('debug/', i.image_id, '_', e.eye_side, '_eye.jpg')), ';' ORDER BY e.eye_idx), '')
+    concat('debug/', i.image_id, '_', e.eye_side, '_eye.jpg')), ';' ORDER BY e.eye_idx)
+    FILTER (WHERE e.eye_side IS NOT NULL), '')
   AS eyes FROM v_images i LEFT JOIN v_eyes e ON i.image_id = e.image_id GROUP BY i.image_id"""
 )
 def detections_json(spark: SparkSession, sf_dir: str) -> DataFrame:
