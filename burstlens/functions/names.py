@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstlens import constants as C
-from burstlens.functions.numbers import fixed6
 
 
 def normalize_name(raw: Column) -> Column:
@@ -74,6 +76,24 @@ def crop_path(base: str | None, path: Column, side: Column, tag: str = "stem") -
     return F.concat(F.lit(base.rstrip("/") + "/"), label, F.lit("_"), side, F.lit("_eye.jpg"))
 
 
+@F.arrow_udf(T.StringType())
+def _label_text(class_id: pa.Array, cells: pa.Array) -> pa.Array:
+    """Label text of rows of 22 numbers; ``%.6f`` rounds the exact binary value.
+
+    Spark's ``format_string`` rounds the shortest decimal text instead, so that 1/640
+    would print as 0.001563, not 0.001562.
+    """
+    width = 4 + 3 * len(C.KEYPOINT_NAMES)
+    form = " %.6f" * 4 + " %.6f %.6f %d" * len(C.KEYPOINT_NAMES)
+    numbers = cells.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    whole = iter(zip(np.isfinite(numbers).all(axis=1).tolist(), numbers.tolist(), strict=True))
+    texts = []
+    for label, present in zip(class_id.to_pylist(), cells.is_valid().to_pylist(), strict=True):
+        ok, row = next(whole) if present else (False, None)
+        texts.append(f"{label}{form % tuple(row)}" if ok else None)
+    return pa.array(texts, pa.string())
+
+
 def label_line(
     box: Column, keypoints: Column, width: Column, height: Column, class_id: int = 0
 ) -> Column:
@@ -89,14 +109,7 @@ def label_line(
         complete = F.size(keypoints) > 3 * i + 2
         kx, ky, kv = (F.get(keypoints, F.lit(3 * i + j)) for j in range(3))
         cells += [F.when(complete, c).otherwise(F.lit(0.0)) for c in (kx / w, ky / h, kv)]
-    # One pass over the numbers; from the fifth on, every third is a visibility.
-    texts = F.transform(
-        F.array(*cells),
-        lambda v, i: F.when((i >= 4) & (i % 3 == 0), v.cast("int").cast("string")).otherwise(
-            fixed6(v)
-        ),
-    )
-    return F.array_join(F.concat(F.array(F.lit(str(class_id))), texts), " ")
+    return _label_text(F.lit(class_id), F.array(*cells))
 
 
 def strip_keypoints(line: Column, n_tokens: int = 5) -> Column:

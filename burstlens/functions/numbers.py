@@ -1,9 +1,8 @@
-"""Decimal rounding that decides on the exact binary value, as JVM-side expressions.
+"""Decimal rounding that decides on the exact binary value, as a JVM-side expression.
 
-Spark's ``bround`` and ``format_string`` round the shortest decimal text of a double, so
-1/640 prints as 0.001563 where exact rounding gives 0.001562. Labels must carry the
-exact value, and a Python UDF per number would be the slow path, so the product
-``x * 10^digits`` is split into two parts that are both exact in double arithmetic.
+Spark's ``round`` and ``bround`` decide on the shortest decimal text of a double. Report
+figures must round the exact value, so the product ``x * 10^digits`` is split into two
+parts that are both exact in double arithmetic.
 """
 
 from __future__ import annotations
@@ -47,16 +46,3 @@ def exact_round(x: Column, digits: int) -> Column:
         F.array(x.cast("double")), lambda v: scaled_half_even(v, digits) / float(10**digits)
     )
     return F.get(rounded, F.lit(0))
-
-
-def fixed6(x: Column) -> Column:
-    """``x`` (a double) with exactly six decimals, rounded on its exact value.
-
-    The expression repeats ``x``; give it a column or a lambda variable, not a formula.
-    """
-    units = F.abs(scaled_half_even(x, 6)).cast("bigint").cast("string")
-    digits = F.lpad(units, 7, "0")
-    digits = F.when(F.length(units) > 7, units).otherwise(digits)
-    negative = (x < 0) | ((x == 0) & (x.cast("string") == "-0.0"))
-    point = F.regexp_replace(digits, r"(\d{6})$", r".$1")
-    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), point)

@@ -25,7 +25,7 @@ def with_head(best: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
     )
 
 
-def _eye(side: str, idx: int, gates: Gates) -> Column:
+def _eye(side: str, idx: int, gates: Gates, retained_only: bool) -> Column:
     point = G.keypoint(F.col("keypoints"), f"{side}_eye")
     width, height, head = F.col("image_width"), F.col("image_height"), F.col("head_width_px")
     verdict = G.eye_visibility(point, head, F.col("turned_away"), width, height, gates)
@@ -40,24 +40,28 @@ def _eye(side: str, idx: int, gates: Gates) -> Column:
         head.alias("head_width_px"),
         F.col("bbox_area_frac").alias("subject_area_frac"),
     )
-    return F.when(point.isNotNull(), eye)
+    wanted = point.isNotNull()
+    if retained_only:
+        wanted = wanted & G.retained(verdict["visibility"], verdict["confidence"], gates)
+    return F.when(wanted, eye)
 
 
-def eye_candidates(best: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
-    """Adds ``eyes``: every eye that has a keypoint, left then right."""
-    sides = [_eye(side, i, gates) for i, side in enumerate(C.EYE_SIDES)]
+def _with_eyes(best: DataFrame, gates: Gates, retained_only: bool) -> DataFrame:
+    sides = [_eye(side, i, gates, retained_only) for i, side in enumerate(C.EYE_SIDES)]
     return with_head(best, gates).withColumn("eyes", F.array_compact(F.array(*sides)))
 
 
-def retain_eyes(located: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
-    """Drops eyes that are hidden or too small and not trusted."""
-    kept = F.filter("eyes", lambda e: G.retained(e["visibility"], e["confidence"], gates))
-    return located.withColumn("eyes", kept)
+def eye_candidates(best: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
+    """Adds ``eyes``: every eye that has a keypoint, left then right."""
+    return _with_eyes(best, gates, retained_only=False)
 
 
 def localize(best: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
-    """One row per image with a detection: retained eyes, debug keypoints."""
-    located = retain_eyes(eye_candidates(best, gates), gates)
+    """One row per image with a detection: retained eyes, debug keypoints.
+
+    Eyes that are hidden or too small and not trusted are dropped.
+    """
+    located = _with_eyes(best, gates, retained_only=True)
     return located.withColumn("pose_keypoints", G.debug_keypoints(F.col("keypoints")))
 
 

@@ -167,8 +167,11 @@ def summarize(
 
     Images without a visible eye (or without any eye: null) get the empty summary.
     """
-    eyes = F.coalesce(F.col("scored"), F.array().cast(scored.schema["scored"].dataType))
-    df = scored.withColumn("_n", F.size(visible_eyes(eyes))).withColumn("_best", best_eye(eyes))
+    eyes = F.coalesce(F.col("scored"), F.array().cast(_scored_type()))
+    # A one-row generator binds the best eye: filters on the summary are not pushed below
+    # it, where they would repeat the whole chain of formulas.
+    chosen = F.struct(best_eye(eyes).alias("_best"), F.size(visible_eyes(eyes)).alias("_n"))
+    df = scored.select("*", F.inline(F.array(chosen)))
     best = F.col("_best")
     df = df.withColumn(
         "_conf", S.gated_confidence(best["detection_confidence"], best["crop_width_px"])

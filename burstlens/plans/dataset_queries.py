@@ -167,19 +167,23 @@ _ANN = {
     "box_w": "box_w",
     "box_h": "box_h",
     "n_kps": "1 + pk % 6",
-    **{
-        f"k{3 * k + j}": expr
-        for k in range(6)
-        for j, expr in enumerate(
-            (
-                f"box_x + box_w * ((pk + {k}) % 101) / CAST(100 AS DOUBLE)",
-                f"box_y + box_h * ((sk + {k}) % 101) / CAST(100 AS DOUBLE)",
-                f"CAST((p + {k}) % 3 AS DOUBLE)",
-            )
-        )
-    },
 }
-view("v_anns", X._select(_ANN, "v_boxes"))
+
+
+def _ann_number(i: str) -> str:
+    """Number ``i`` of a vector: x, y and v of keypoint ``i DIV 3``."""
+    k = f"({i} DIV 3)"
+    return (
+        f"CASE {i} % 3 WHEN 0 THEN box_x + box_w * ((pk + {k}) % 101) / CAST(100 AS DOUBLE) "
+        f"WHEN 1 THEN box_y + box_h * ((sk + {k}) % 101) / CAST(100 AS DOUBLE) "
+        f"ELSE CAST((p + {k}) % 3 AS DOUBLE) END"
+    )
+
+
+view(
+    "v_anns",
+    X._select({**_ANN, **{f"k{i}": _ann_number(str(i)) for i in range(18)}}, "v_boxes"),
+)
 view(
     "v_coco_lines",
     "SELECT a.id AS ann_id, a.image_id, i.file_name, "
@@ -195,11 +199,12 @@ WHERE i.file_name IN (SELECT file_name FROM v_note_files)""",
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = X._project(X._project(X.table(spark, sf_dir, "lineitem"), X._BOX_KEYS), X._BOX)
-    cells = X._project(boxes, _ANN)
-    vector = F.slice(F.array(*[f"k{i}" for i in range(18)]), F.lit(1), (F.col("n_kps") * 3).cast("int"))
-    return cells.select(
-        "id", "image_id", F.array("box_x", "box_y", "box_w", "box_h").alias("bbox"), vector.alias("keypoints")
-    )
+    numbers = ", ".join(X._spark(_ann_number(str(i))) for i in range(18))
+    columns = X._project(boxes, {**_ANN, "pk": "pk", "sk": "sk", "p": "p"})
+    return columns.selectExpr(
+        "id", "image_id", "array(box_x, box_y, box_w, box_h) AS bbox",
+        f"slice(array({numbers}), 1, CAST(n_kps * 3 AS INT)) AS keypoints",
+    )
 
 
 def _coco_images(spark: SparkSession, sf_dir: str) -> DataFrame:

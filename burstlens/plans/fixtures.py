@@ -57,24 +57,26 @@ _BOX = {
 DETECTION_ORDER = ("det_idx", "pk", "sk", "p")
 
 
-def _keypoint_exprs(k: int) -> dict[str, str]:
+def _keypoint_exprs(k: str) -> dict[str, str]:
+    """Keypoint number ``k`` of a box."""
+    cent = "CAST(100 AS DOUBLE)"
     return {
-        "x": f"box_x + box_w * ((pk * {k + 3} + sk * 7 + {k * 29}) % 101) / CAST(100 AS DOUBLE)",
-        "y": f"box_y + box_h * ((sk * {k + 5} + pk * 3 + {k * 41}) % 101) / CAST(100 AS DOUBLE)",
+        "x": f"box_x + box_w * ((pk * ({k} + 3) + sk * 7 + {k} * 29) % 101) / {cent}",
+        "y": f"box_y + box_h * ((sk * ({k} + 5) + pk * 3 + {k} * 41) % 101) / {cent}",
         "confidence": f"CASE WHEN (pk + sk * {k} + {k}) % 7 = 0 THEN CAST(0 AS DOUBLE) "
         f"ELSE ((p DIV 7 + {k} * (137 + pk)) % 1000) / CAST(1000 AS DOUBLE) END",
     }
 
 
-def _with_keypoints(boxes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def _with_keypoints(boxes: DataFrame) -> DataFrame:
     points = []
     for k in range(len(KEYPOINT_NAMES)):
-        fields = ", ".join(f"'{n}', {_spark(e)}" for n, e in _keypoint_exprs(k).items())
+        fields = ", ".join(f"'{n}', {_spark(e)}" for n, e in _keypoint_exprs(str(k)).items())
         points.append(f"named_struct({fields})")
     return boxes.selectExpr(
         "image_id", "det_idx", "pk", "sk", "p", "image_width", "image_height",
-        "bbox_confidence", "box_x AS x1", "box_y AS y1", "box_x + box_w AS x2", "box_y + box_h AS y2",
-        f"array({', '.join(points)}) AS keypoints", *extra,
+        "bbox_confidence", "box_x AS x1", "box_y AS y1", "box_x + box_w AS x2",
+        "box_y + box_h AS y2", f"array({', '.join(points)}) AS keypoints",
     )
 
 
@@ -82,7 +84,7 @@ def _keypoints_sql(source: str) -> str:
     cells = []
     for k, name in enumerate(KEYPOINT_NAMES):
         short = {"x": "x", "y": "y", "confidence": "c"}
-        cells += [f"{_duck(e)} AS {name}_{short[n]}" for n, e in _keypoint_exprs(k).items()]
+        cells += [f"{_duck(e)} AS {name}_{short[n]}" for n, e in _keypoint_exprs(str(k)).items()]
     return (
         "SELECT image_id, det_idx, pk, sk, p, image_width, image_height, bbox_confidence, "
         "box_x AS x1, box_y AS y1, box_x + box_w AS x2, box_y + box_h AS y2,\n  "

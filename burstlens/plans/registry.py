@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burstlens.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -46,7 +49,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or fn.__name__
         if key in _QUERIES:
             raise ValueError(f"query registered twice: {key}")
-        _QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        _QUERIES[key] = run
         if sql is not None:
             _ORACLES[key] = sql
         return fn

@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # HotSpot never compiles methods above 8,000 bytes of bytecode. Wide row-local stages
+    # exceed that as one method, and then run interpreted; below the limit Spark splits them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,6 +32,13 @@ def build_session(app: str = "burstlens", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime setting that the row-local stages need, for sessions made elsewhere."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":  # Spark's default, so nobody chose it
+        spark.conf.set(key, SETTINGS[key])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
