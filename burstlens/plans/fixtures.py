@@ -185,8 +185,11 @@ def _photo_schema(meta: DataFrame) -> str:
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos with their pixels, as an image reader would deliver them (stored, BGR)."""
-    meta = photo_meta(spark, sf_dir)
+    """Photos with their pixels, as an image reader would deliver them (stored, BGR).
+
+    The ids come from one small file; they are spread out before they turn into pixels.
+    """
+    meta = photo_meta(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
 
     def paint(batches):
         import numpy as np
