@@ -24,9 +24,15 @@ def salted_lookup(
     A key is hot with more than ``hot_rows`` rows and more than ``hot_share`` of all
     rows, so there are at most ``1 / hot_share`` hot keys: that bounds the broadcast and
     the lookup rows that are repeated. All other rows carry salt 0 and join as usual.
+
+    The salt is a hash of the other columns, so a repeated task gives each row the same
+    one; ``facts`` should carry an identifying column such as a line or annotation id.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join: {how}")
+    others = [c for c in facts.columns if c != key]
+    if not others:
+        raise ValueError("facts need an identifying column beside the key")
     counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
     total = facts.agg(F.count("*")).scalar()
     hot = (
@@ -36,8 +42,7 @@ def salted_lookup(
     )
     hot = F.broadcast(hot)
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    row = F.xxhash64(*[c for c in facts.columns if c != key]) if len(facts.columns) > 1 else F.rand(7)
-    spread = F.pmod(row, F.lit(salts)) if len(facts.columns) > 1 else F.floor(row * salts)
+    spread = F.pmod(F.xxhash64(*others), F.lit(salts))
     left = (
         facts.join(hot, key, "left")
         .withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)).cast("int"))

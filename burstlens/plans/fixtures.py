@@ -126,8 +126,7 @@ _GRID = {
 def gray_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, gray, width, shown_px, detection_confidence``; one byte per pixel.
 
-    Grids of a few pixels have fewer than two columns or rows: every 20th vector gives a
-    crop of one line, as an eye at the image border does.
+    Every 20th vector gives a crop of one line, as an eye at the image border does.
     """
     grid = _project(table(spark, sf_dir, "embeddings"), _GRID)
     pixel = F.transform(

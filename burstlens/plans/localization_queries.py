@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlens.functions import geometry as G
 from burstlens.operators import coverage as COV
 from burstlens.operators import detections as D
 from burstlens.operators import localize as L
@@ -16,7 +15,6 @@ from burstlens.session import scratch_path
 from burstlens.sources import read_detections
 
 _POINTS = ("beak", "left_eye", "right_eye", "head_top", "left_shoulder", "right_shoulder")
-_ALL = ", ".join(f"{n}_x, {n}_y, {n}_c" for n in _POINTS)
 
 
 def _eye_sql(side: str, idx: int) -> str:
@@ -332,4 +330,4 @@ def eyes_per_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["G", "located", "localization_views"]
+__all__ = ["located", "localization_views"]
