@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from burstlens.llm.chat import chat_digest, chat_windows
 from burstlens.llm.common import table
 from burstlens.llm.mixing import mixed_sizes
+from burstlens.llm.pii import find_pii, span_digest
 from burstlens.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,9 @@ def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONTROL_STRINGS).alias("text"),
     )
     return chat_digest(chat_windows(turns.unionByName(planted)))
+
+
+@query
+def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_digest(find_pii(docs))
