@@ -11,6 +11,7 @@ from burstlens.llm.chat import chat_digest, chat_windows
 from burstlens.llm.common import table
 from burstlens.llm.mixing import mixed_sizes
 from burstlens.llm.pii import find_pii, span_digest
+from burstlens.llm.pieces import sample_pieces
 from burstlens.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,8 @@ def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return span_digest(find_pii(docs))
+
+
+@query
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(table(spark, sf_dir, "documents"))
