@@ -13,6 +13,7 @@ from burstlens.llm.mixing import mixed_sizes
 from burstlens.llm.pii import find_pii, span_digest
 from burstlens.llm.pieces import sample_pieces
 from burstlens.llm.quality import quality_rules
+from burstlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,11 @@ def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "spans")
