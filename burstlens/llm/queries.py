@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from burstlens.llm.chat import chat_digest, chat_windows
 from burstlens.llm.common import table
+from burstlens.llm.fm_index import dedup_substrings
 from burstlens.llm.mixing import mixed_sizes
 from burstlens.llm.pii import find_pii, span_digest
 from burstlens.llm.pieces import sample_pieces
 from burstlens.llm.quality import quality_rules
+from burstlens.llm.suffix_merge import dedup_suffixes, suffix_digest
 from burstlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +77,14 @@ def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "spans")
+
+
+@query
+def op6_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(dedup_suffixes(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
