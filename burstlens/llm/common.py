@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstlens.session import ensure_checkpoint_dir
+from burstlens.session import scratch_path
 
 # Text that one numpy pass handles at a time; only memory depends on it, not results.
 PASS_BYTES = 2_000_000
@@ -82,10 +82,16 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder, so that later steps don't compute it again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written to the shared folder and read again, so that no step computes it twice.
+
+    Shuffle files of a finished step are never read again, so Spark may drop them at once.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

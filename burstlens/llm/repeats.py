@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstlens.llm.common import cuts, mix64
-from burstlens.session import scratch_path
+from burstlens.llm.common import cuts, mix64, stored
 
 HOT = 1_000  # occurrences of an anchor that one kernel call may hold
 CHUNK = 1 << 18  # window starts that one numpy pass handles
@@ -43,14 +44,11 @@ class ByteUnits:
 
     item = 1
 
-    def __init__(self) -> None:
-        self.table = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-
     def raw(self, text: str | None) -> np.ndarray:
         return np.frombuffer((text or "").encode(), np.uint8)
 
     def hashes(self, raw: np.ndarray) -> np.ndarray:
-        return self.table[raw]
+        return raw.astype(np.uint64)
 
     def sha(self, text: str | None, drop: np.ndarray | None = None) -> str:
         """Hash of what is left of a text without the units of ``drop``."""
@@ -154,13 +152,6 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind))
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _slim(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
     """One row per text: size, hash and anchors."""
     schema = T.StructType.fromDDL(
@@ -191,7 +182,7 @@ def _slim(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc", "tie", "text")
-    return kept_table(rows.mapInArrow(run, schema), "anchors")
+    return stored(rows.mapInArrow(run, schema), "anchors")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,32 +234,30 @@ def _contexts(units: Callable, width: int, hot: bool):
         u = units()
         for batch in batches:
             for i in range(batch.num_rows):
-                row, doc, tie, text, marks = (c[i].as_py() for c in batch.columns)
-                marks = [m for m in marks if m["hot"] == hot]
-                if not marks:
+                row, doc, tie = (batch.column(k)[i].as_py() for k in range(3))
+                marks = batch.column(4)[i].values
+                pick = np.flatnonzero(np.asarray(marks.field("hot")) == hot)
+                if not len(pick):
                     continue
-                raw = u.raw(text)
-                grams = None
-                if hot and len(raw) >= width:
-                    grams = mix64(gram_hashes(u.hashes(raw), width)).view(np.int64)
-                made, hashes = [], []
-                for m in marks:
-                    s, n = m["start"], m["windows"]
-                    context = raw[s : s + n - 1 + width].tobytes()
-                    made.append(xxhash.xxh3_128_digest(context) if hot else context)
-                    if hot:
-                        hashes.append(grams[s : s + n])
-                k = len(marks)
+                raw = u.raw(batch.column(3)[i].as_py())
+                start, windows = (np.asarray(marks.field(f))[pick] for f in ("start", "windows"))
+                size = raw.itemsize
+                data = raw.tobytes()
+                ends = (start + windows - 1 + width) * size
+                made = [data[x:y] for x, y in zip((start * size).tolist(), ends.tolist(), strict=True)]
+                k = len(pick)
                 columns = [
-                    pa.array([m["a"] for m in marks], pa.int64()),
-                    *(pa.array([x] * k, pa.int64()) for x in (doc, tie, row)),
-                    *(pa.array([m[x] for m in marks], pa.int32()) for x in ("start", "windows")),
-                    pa.array(made, pa.binary()),
+                    marks.field("a").take(pa.array(pick)),
+                    *(pa.array(np.full(k, x, np.int64)) for x in (doc, tie, row)),
+                    pa.array(start),
+                    pa.array(windows),
+                    pa.array(list(map(xxhash.xxh3_128_digest, made)) if hot else made, pa.binary()),
                 ]
                 names = ["a", "doc", "tie", "row", "start", "windows", "context"]
                 if hot:
-                    counts = np.array([len(h) for h in hashes])
-                    columns.append(_lists(np.concatenate(hashes), counts, pa.int64()))
+                    grams = mix64(gram_hashes(u.hashes(raw), width)).view(np.int64)
+                    hashes = [grams[s : s + n] for s, n in zip(start, windows, strict=True)]
+                    columns.append(_lists(np.concatenate(hashes), windows, pa.int64()))
                     names.append("hashes")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -288,17 +277,19 @@ def _cold(kernel: Callable, width: int, item: int, chunk_units: int):
     """Ranges of units to remove, from contexts sorted by anchor and order of occurrence."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        seen: dict[bytes, tuple] = {}
         out: list[tuple] = []
         distinct = []
-        for a, doc, tie, row, start, windows, context in rows:
-            earlier = seen.get(context)
-            if earlier is None:
-                seen[context] = (row, start)
-                distinct.append((doc, tie, row, start, windows, context))
-            elif earlier != (row, start):  # all its windows occur earlier
-                out.append((row, start, start + windows - 1 + width))
-        if len(distinct) > 1:
+        for _, group in groupby(rows, itemgetter(0)):
+            seen: dict[bytes, tuple] = {}
+            for _, doc, tie, row, start, windows, context in group:
+                earlier = seen.get(context)
+                if earlier is None:
+                    seen[context] = (doc, tie, row, start, windows, context)
+                elif earlier[2:4] != (row, start):  # all its windows occur earlier
+                    out.append((row, start, start + windows - 1 + width))
+            if len(seen) > 1:  # equal windows share their anchor, so one context has no partner
+                distinct += seen.values()
+        if distinct:
             owned = np.array([d[4] for d in distinct], np.int64)
             kind = np.uint8 if item == 1 else np.uint64
             texts = [np.frombuffer(d[5], kind) for d in distinct]
@@ -437,7 +428,7 @@ def remove_repeats(
         F.collect_list(F.struct("a", "start", "windows", "hot")).alias("marks")
     )
     wanted = originals.join(per_row, "row")
-    concerned = kept_table(
+    concerned = stored(
         rows.join(wanted, ["doc", "tie"]).select("row", "doc", "tie", "text", "marks"), "repeats"
     )
     cold = (
@@ -449,7 +440,7 @@ def remove_repeats(
     hot = concerned.mapInArrow(
         _contexts(units, width, True), _CONTEXT + ", hashes array<bigint>"
     )
-    ranges = kept_table(cold.unionByName(_hot_ranges(hot, width)), "ranges")
+    ranges = stored(cold.unionByName(_hot_ranges(hot, width)), "ranges")
     per_text = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     changed = (
         concerned.select("row", "text")

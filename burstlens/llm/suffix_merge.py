@@ -6,7 +6,7 @@ starts as one shard after the other and is refined step by step. A step reads ea
 transform in the order of the interleave and deals the places out by symbol, stably; then the
 interleave is right for suffixes one symbol longer. Places where a new block begins give the
 common prefixes; blocks that are left when ``width`` bytes are sorted are the repeated
-intervals. A symbol is four bytes, so 25 steps sort 100 bytes.
+intervals. A symbol is ten bytes, so ten steps sort 100 bytes.
 """
 
 from __future__ import annotations
@@ -19,26 +19,38 @@ from burstlens.llm.repeats import ByteUnits, remove_repeats
 
 WIDTH = 100
 GRAM = 32
-STEP = 4  # bytes of a symbol
+STEP = 10  # bytes of a symbol
 SHARDS = 4
+CHUNK_BYTES = 60_000  # of contexts that one merge takes; anchors are not divided
 _SEPARATOR, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 
 
 def rotations(symbols: np.ndarray) -> np.ndarray:
     """Order of all rotations of a text whose last symbol occurs once, by doubling."""
     n = len(symbols)
-    rank = symbols.astype(np.int64)
-    span = 1
+    rank = packed(symbols, 7).astype(np.int64) if symbols.dtype == np.uint8 else symbols
+    span = 7 if symbols.dtype == np.uint8 else 1
+    order = np.argsort(rank)
     while True:
-        pair = rank * (int(rank.max()) + 1) + np.roll(rank, -span)
-        order = np.argsort(pair)
-        changed = np.diff(pair[order], prepend=-1) != 0
-        rank[order] = np.cumsum(changed) - 1
+        value = rank[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.diff(value, prepend=value[0]) != 0)
         if rank[order[-1]] == n - 1:
             return order
+        rank = rank * n + np.roll(rank, -span)
+        order = np.argsort(rank)
         span *= 2
 
 
+def packed(text: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (at most 8) bytes from each place on, as one number; the text is a ring."""
+    ring = np.concatenate([text, text[: size - 1]])
+    out = np.zeros(len(text), np.uint64)
+    for i in range(size):
+        out = (out << np.uint64(8)) | ring[i : i + len(text)]
+    return out
+
+
 def merge_shards(texts: list[np.ndarray], width: int) -> tuple[list, np.ndarray, np.ndarray]:
     """Interleaved order of all rotations by their first ``width`` bytes.
 
@@ -49,11 +61,13 @@ def merge_shards(texts: list[np.ndarray], width: int) -> tuple[list, np.ndarray,
     orders = [rotations(t) for t in texts]
     grams = []
     for text, order in zip(texts, orders, strict=True):
-        wide = np.zeros(len(text), np.uint32)
-        for back in range(STEP, 0, -1):
-            wide = (wide << np.uint32(8)) | text[order - back]
-        grams.append(wide)
-    known, transform = np.unique(np.concatenate(grams), return_inverse=True)
+        grams.append(packed(text, 8)[order - STEP])  # the ring's bytes before each rotation
+    # Ten bytes are the number of the first eight among all, and two more.
+    _, front = np.unique(np.concatenate(grams), return_inverse=True)
+    back = np.concatenate(
+        [packed(t, 2)[o - (STEP - 8)] for t, o in zip(texts, orders, strict=True)]
+    )
+    known, transform = np.unique((front.astype(np.uint64) << np.uint64(16)) | back, return_inverse=True)
     transform = transform.astype(np.uint16 if len(known) <= 1 << 16 else np.int64)
     shard = np.repeat(np.arange(len(texts), dtype=np.uint8), [len(t) for t in texts])
     n = len(shard)
@@ -110,7 +124,7 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``repeats.remove_repeats`` for ties, nulls and repeated rows. Other columns are not looked
     at; an empty table gives no rows.
     """
-    found = remove_repeats(docs, repeated_windows, ByteUnits, WIDTH, GRAM, key, text, 1 << 19)
+    found = remove_repeats(docs, repeated_windows, ByteUnits, WIDTH, GRAM, key, text, CHUNK_BYTES)
     return found.withColumnRenamed("n", "n_bytes")
 
 
