@@ -12,6 +12,7 @@ from burstlens.llm.common import table
 from burstlens.llm.fm_index import dedup_substrings
 from burstlens.llm.mixing import mixed_sizes
 from burstlens.llm.pii import find_pii, span_digest
+from burstlens.llm.p_stable import nearest
 from burstlens.llm.pieces import sample_pieces
 from burstlens.llm.quality import quality_rules
 from burstlens.llm.suffix_merge import dedup_suffixes, suffix_digest
@@ -88,3 +89,8 @@ def op6_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op3_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
