@@ -12,6 +12,7 @@ from burstlens.llm.common import table
 from burstlens.llm.fm_index import dedup_substrings
 from burstlens.llm.mixing import mixed_sizes
 from burstlens.llm.pii import find_pii, span_digest
+from burstlens.llm.near import near_classes
 from burstlens.llm.p_stable import nearest
 from burstlens.llm.pieces import sample_pieces
 from burstlens.llm.quality import quality_rules
@@ -94,3 +95,9 @@ def op10_backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", F.col("is_first").alias("kept"), "n_words")
