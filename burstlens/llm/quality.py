@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstlens.llm.common import map_texts
@@ -144,3 +145,20 @@ def quality_rules(
         return list(zip(*map(judge, texts), strict=True))
 
     return map_texts(docs, key, text, FIELDS, work)
+
+
+def keep_good(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, in one pass.
+
+    The verdict depends on the text alone, so it comes from a copy of the text column that
+    travels through the rules in place of the key.
+    """
+    verdicts = quality_rules(
+        docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).alias("_text")),
+        "_row",
+        "_text",
+        bands,
+    )
+    return verdicts.filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
