@@ -172,35 +172,38 @@ def _verified(least: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``row`` and ``label`` (the smallest row it is linked to, over any number of links)."""
-    both = stored(
-        edges.select(F.col("a").alias("row"), F.col("b").alias("other"))
-        .unionByName(edges.select(F.col("b").alias("row"), F.col("a").alias("other"))),
-        "links",
-    )
-    labels = stored(
-        both.groupBy("row").agg(F.min("other").alias("m")).select("row", F.least("row", "m").alias("label")),
-        "labels",
-    )
-    while True:
-        near = (
-            both.join(labels.select(F.col("row").alias("other"), "label"), "other")
-            .groupBy("row")
-            .agg(F.min("label").alias("near"))
+    """``row`` and ``label`` of every linked row: equal for rows that links join.
+
+    Every row moves to its smallest neighbour and links follow; links within a class vanish,
+    so each turn leaves far fewer of them.
+    """
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moves = stored(
+            both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("to")),
+            "moves",
         )
-        stepped = labels.join(near, "row").select("row", "label", F.least("label", "near").alias("new"))
-        # A label's own label is on the same component and at most as large.
-        far = labels.select(F.col("row").alias("new"), F.col("label").alias("far"))
-        jumped = stored(
-            stepped.join(far, "new", "left").select(
-                "row", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")
-            ),
-            "labels",
+        if labels is None:
+            labels = moves.select("row", F.col("to").alias("label"))
+        else:
+            step = moves.select(F.col("row").alias("label"), "to")
+            labels = stored(
+                labels.join(step, "label", "left").select("row", F.coalesce("to", "label").alias("label")), "labels"
+            )
+        left = moves.select(F.col("row").alias("a"), F.col("to").alias("x"))
+        right = moves.select(F.col("row").alias("b"), F.col("to").alias("y"))
+        edges = stored(
+            edges.join(left, "a")
+            .join(right, "b")
+            .filter("x <> y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .distinct(),
+            "links",
         )
-        changed = not jumped.filter("old <> label").isEmpty()
-        labels = jumped.select("row", "label")
-        if not changed:
-            return labels
+    if labels is None:
+        return edges.select(F.col("a").alias("row"), F.col("b").alias("label"))
+    return labels
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -277,7 +280,7 @@ def near_classes(
     concerned = shared.select("row").distinct()
     some = stored(texts.join(concerned, "row").select("row", "doc", "tie", "sketch"), "candidates")
     bodies = stored(
-        given.join(some.select("row", "doc", "tie"), ["doc", "tie"])
+        given.join(some.select("row", "doc", "tie").hint("merge"), ["doc", "tie"])  # alike at every size
         .select("row", F.coalesce("text", F.lit("")).alias("text")),
         "bodies",
     )

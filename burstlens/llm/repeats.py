@@ -429,7 +429,7 @@ def remove_repeats(
     )
     wanted = originals.join(per_row, "row")
     concerned = stored(
-        rows.join(wanted, ["doc", "tie"]).select("row", "doc", "tie", "text", "marks"), "repeats"
+        rows.join(wanted.hint("merge"), ["doc", "tie"]).select("row", "doc", "tie", "text", "marks"), "repeats"
     )
     cold = (
         concerned.mapInArrow(_contexts(units, width, False), _CONTEXT)
@@ -444,7 +444,7 @@ def remove_repeats(
     per_text = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     changed = (
         concerned.select("row", "text")
-        .join(per_text, "row")
+        .join(per_text.hint("merge"), "row")
         .mapInArrow(
             _cut_out(units),
             "row bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>",
