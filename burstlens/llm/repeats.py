@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -275,53 +273,64 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cold(kernel: Callable, width: int, item: int, chunk_units: int):
     """Ranges of units to remove, from contexts sorted by anchor and order of occurrence."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        out: list[tuple] = []
-        distinct = []
-        for _, group in groupby(rows, itemgetter(0)):
-            seen: dict[bytes, tuple] = {}
-            for _, doc, tie, row, start, windows, context in group:
-                earlier = seen.get(context)
-                if earlier is None:
-                    seen[context] = (doc, tie, row, start, windows, context)
-                elif earlier[2:4] != (row, start):  # all its windows occur earlier
-                    out.append((row, start, start + windows - 1 + width))
-            if len(seen) > 1:  # equal windows share their anchor, so one context has no partner
-                distinct += seen.values()
-        if distinct:
-            owned = np.array([d[4] for d in distinct], np.int64)
-            kind = np.uint8 if item == 1 else np.uint64
-            texts = [np.frombuffer(d[5], kind) for d in distinct]
-            own = np.repeat(np.arange(len(distinct)), owned)
-            nth = np.arange(len(own)) - np.repeat(np.cumsum(owned) - owned, owned)
-            doc, tie, row, start = (np.array([d[k] for d in distinct], np.int64) for k in range(4))
-            order = np.empty(len(own), np.int64)
-            order[np.lexsort((start[own] + nth, row[own], tie[own], doc[own]))] = np.arange(len(own))
-            again = kernel(texts, owned, order)
+    kind = np.uint8 if item == 1 else np.uint64
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        a, doc, tie, row, start, windows = (table.column(k).to_numpy() for k in range(6))
+        contexts = table.column(6).combine_chunks()
+        code = contexts.dictionary_encode().indices.to_numpy().astype(np.int64)
+        group = np.cumsum(np.diff(a, prepend=a[:1]) != 0)
+        _, first, which = np.unique(group * len(a) + code, return_index=True, return_inverse=True)
+        lead = first[which]
+        # All windows of an equal context occur earlier; a row that came twice is no other one.
+        later = np.flatnonzero((row != row[lead]) | (start != start[lead]))
+        found = [(row[later], start[later], start[later] + windows[later] - 1 + width)]
+        first.sort()
+        # Equal windows share their anchor, so the one context of an anchor has no partner.
+        several = first[np.bincount(group)[group[first]] > 1]
+        several = several[np.bincount(group[several])[group[several]] > 1] if len(several) else several
+        sizes = windows[several].astype(np.int64) - 1 + width
+        begins = np.flatnonzero(np.diff(group[several], prepend=-1))
+        part = (np.cumsum(sizes) - sizes)[begins] // chunk_units
+        edges = [*begins[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(several)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = several[lo:hi]
+            texts = [np.frombuffer(x, kind) for x in contexts.take(pa.array(own)).to_pylist()]
+            owned = windows[own].astype(np.int64)
+            text = np.repeat(own, owned)
             ends = np.cumsum(owned)
-            for i in np.unique(own[again]).tolist():
-                lo, hi = runs_of(again[ends[i] - owned[i] : ends[i]])
-                for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                    out.append((int(row[i]), int(start[i]) + x, int(start[i]) + y - 1 + width))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
+            place = start[text] + np.arange(len(text)) - np.repeat(ends - owned, owned)
+            order = np.empty(len(text), np.int64)
+            order[np.lexsort((place, row[text], tie[text], doc[text]))] = np.arange(len(text))
+            again = kernel(texts, owned, order)
+            # Runs end with their context: a False stands between any two.
+            gaps = np.insert(again, ends, False)
+            x, y = runs_of(gaps)
+            at = np.searchsorted(ends + np.arange(len(ends)), x, side="right")
+            shift = start[own][at] - (ends - owned)[at] - at
+            found.append((row[own][at], x + shift, y + shift - 1 + width))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)],
+            [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32), strict=True)],
             names=["row", "lo", "hi"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        units = 0
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if units >= chunk_units and r[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, units = [], 0
-                rows.append(r)
-                units += len(r[6]) // item
-        if rows:
-            yield solve(rows)
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) < 20_000:
+                continue
+            table = pa.Table.from_batches(held)
+            a = table.column(0).to_numpy()
+            before = np.flatnonzero(a != a[-1])
+            if len(before):  # the last anchor may go on
+                cut = int(before[-1]) + 1
+                yield solve(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -427,7 +436,7 @@ def remove_repeats(
     per_row = again.groupBy("row").agg(
         F.collect_list(F.struct("a", "start", "windows", "hot")).alias("marks")
     )
-    wanted = originals.join(per_row, "row")
+    wanted = stored(originals.join(per_row, "row"), "marks")
     concerned = stored(
         rows.join(wanted.hint("merge"), ["doc", "tie"]).select("row", "doc", "tie", "text", "marks"), "repeats"
     )
