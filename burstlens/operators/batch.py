@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens import constants as C
-from burstlens.operators.joins import salted_lookup
 from burstlens.operators.scoring import to_result
 
 
@@ -15,12 +14,12 @@ def score_batch(manifest: DataFrame, listing: DataFrame, scored: DataFrame) -> D
 
     ``listing`` holds the files that exist (unique ``path``) and ``scored`` the scored
     images with their ``path`` (unique) and ``decoded``. An image is scored once however
-    many lines name it; a path named by very many lines is salted. Failures become rows,
-    so one bad image does not lose the batch.
+    many lines name it; adaptive skew join splits a path that very many lines name. Failures
+    become rows, so one bad image does not lose the batch.
     """
     results = to_result(scored.withColumn("_decoded", F.col("decoded")), "path", "_decoded")
     known = listing.select("path", F.lit(True).alias("_exists")).join(results, "path", "left")
-    rows = salted_lookup(manifest, known, "path")
+    rows = manifest.join(known, "path", "left")
     error = F.when(F.col("_exists").isNull(), F.lit(C.ERROR_MISSING)).when(
         ~F.coalesce(F.col("_decoded"), F.lit(False)), F.lit(C.ERROR_DECODE)
     )

@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 
 from burstlens.functions import geometry as G
 from burstlens.functions import pixels as P
-from burstlens.session import ensure_checkpoint_dir
 
-# A located image is well below 1 kB (six keypoints, at most two eyes), so this many stay
-# below 100 MB.
-BROADCAST_IMAGES = 100_000
+
+def with_shown_dims(best: DataFrame, photos: DataFrame, key: str = "image_id") -> DataFrame:
+    """``best`` with ``image_width`` and ``image_height`` of the photo as displayed.
+
+    Detectors report the stored dims; eyes, boxes and windows are judged in the turned photo.
+    Only dims and orientation of ``photos`` are read here.
+    """
+    shown = G.oriented_dims(F.col("width"), F.col("height"), F.col("orientation"))
+    dims = photos.select(key, shown.alias("_shown")).select(
+        key, F.col("_shown.width").alias("image_width"), F.col("_shown.height").alias("image_height")
+    )
+    return best.drop("image_width", "image_height").join(dims, key)
 
 
 def eye_windows(located: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -36,20 +44,15 @@ def eye_windows(located: DataFrame, width: Column, height: Column) -> DataFrame:
 
 def join_located(
     images: DataFrame, located: DataFrame, key: str = "image_id", how: str = "inner",
-    broadcast_images: int = BROADCAST_IMAGES,
+    broadcast: bool = False,
 ) -> DataFrame:
-    """Images with the columns of ``located``; pixels do not move if those rows are few.
+    """Images with the columns of ``located``; pixels are not sorted, and do not move if bucketed.
 
-    The located rows are written to the shared folder and counted. Up to
-    ``broadcast_images`` they go to the images. Beyond that both sides are joined by key,
-    which leaves the images in place too if they are stored bucketed by the key (see
-    ``sinks.write_bucketed_images``).
+    One plan at every size: a hash join that builds on the located rows. Images stored
+    bucketed by the key (see ``sinks.write_bucketed_images``) stay in place. With
+    ``broadcast`` the caller vouches that the located rows (below 1 kB each) are few.
     """
-    ensure_checkpoint_dir(images.sparkSession)
-    rows = located.checkpoint()
-    if rows.count() <= broadcast_images:
-        return images.join(F.broadcast(rows), key, how)
-    return images.join(rows.hint("merge"), key, how)
+    return images.join(located.hint("broadcast" if broadcast else "shuffle_hash"), key, how)
 
 
 def cut_windows(joined: DataFrame, key: str = "image_id") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from burstlens import constants as C
 from burstlens.functions import landmarks as L
 from burstlens.functions import names as N
-from burstlens.operators.joins import salted_lookup
 from burstlens.operators.ordering import dense_index
 
 _PREFIX_HEX = 4  # 65,536 buckets of a uniform hash
@@ -145,14 +144,14 @@ def existing_only(df: DataFrame, listing: DataFrame, column: str) -> DataFrame:
 def join_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """One row per image and annotation, one with nulls for images without any.
 
-    An image with very many annotations stays many rows, and its key is salted; nothing
-    is collected into a list.
+    An image with very many annotations stays many rows, which adaptive skew join deals to
+    several tasks; nothing is collected into a list.
     """
     anns = annotations.select(
         "image_id", F.col("id").alias("ann_id"), "bbox", "keypoints"
     )
     meta = images.select(F.col("id").alias("image_id"), "file_name", "width", "height")
-    matched = salted_lookup(anns, meta, "image_id", "inner")
+    matched = anns.join(meta, "image_id")
     annotated = anns.select("image_id").distinct()
     bare = meta.join(annotated, "image_id", "left_anti")
     return matched.unionByName(bare, allowMissingColumns=True)
@@ -237,7 +236,7 @@ def prepare_from_coco(
     )
     meta = placed.select(F.col("id").alias("image_id"), "width", "height", "label", "split")
     anns = annotations.select("image_id", F.col("id").alias("ann_id"), "bbox", "keypoints")
-    lines = salted_lookup(anns, meta, "image_id", "inner").filter(
+    lines = anns.join(meta, "image_id").filter(
         N.usable_label(F.col("bbox"), F.col("width"), F.col("height"))
     )
     return manifest, lines.select(
@@ -267,7 +266,7 @@ def prepare_from_csv(
     dims = listing.select(
         F.col("path").alias("image_path"), F.col("width").alias("_w"), F.col("height").alias("_h")
     )
-    found = salted_lookup(split, dims, "image_path", "inner")
+    found = split.join(dims, "image_path")
     unknown = (F.coalesce(F.col("width"), F.lit(0)) == 0) | (
         F.coalesce(F.col("height"), F.lit(0)) == 0
     )
@@ -285,7 +284,7 @@ def prepare_from_csv(
     manifest = placed.select(F.col("image_path").alias("src"), "dst", "label", "split")
     per_label = manifest.groupBy("label").agg(F.count("*").alias("_n")).filter("_n > 1")
     clash = per_label.select("label", F.lit(True).alias("_clash"))
-    marked = salted_lookup(manifest, clash, "label").withColumn(
+    marked = manifest.join(clash, "label", "left").withColumn(
         "collides", F.coalesce(F.col("_clash"), F.lit(False))
     )
     return marked.drop("_clash"), labels

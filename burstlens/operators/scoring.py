@@ -11,7 +11,7 @@ from burstlens import constants as C
 from burstlens.constants import DEFAULT_GATES, Gates
 from burstlens.functions import scores as S
 from burstlens.functions.names import crop_path
-from burstlens.operators.crops import eye_windows, join_located, measure_eyes
+from burstlens.operators.crops import eye_windows, join_located, measure_eyes, with_shown_dims
 from burstlens.operators.detections import best_detection, gate_detections
 from burstlens.operators.localize import localization_notes, localize, notes
 from burstlens.schemas import EYE_DETECTION, MOMENTS, RESULT
@@ -260,11 +260,13 @@ def score_photos(
 ) -> DataFrame:
     """Images with pixels and flat detections to one scored row per image.
 
-    ``photos`` has ``width, height, n_channels, orientation, data`` (stored, BGR). There
-    is one join, of the located rows to the photos; crops, measures and summary are local
-    to the row, and the pixels are dropped as soon as the crops are cut.
+    ``photos`` has ``width, height, n_channels, orientation, data`` (stored, BGR); detections
+    carry stored dims. The dims as displayed are joined first, without pixels. There is one
+    join of the located rows to the photos; crops, measures and summary are local to the row,
+    and the pixels are dropped as soon as the crops are cut.
     """
-    located = localize(best_detection(gate_detections(detections, gates), key, tie_break), gates)
+    best = best_detection(gate_detections(detections, gates), key, tie_break)
+    located = localize(with_shown_dims(best, photos, key), gates)
     narrow = eye_windows(located, F.col("image_width"), F.col("image_height")).select(
         key, "eyes", "windows", "pose_keypoints", F.lit(True).alias("_found")
     )
@@ -315,29 +317,32 @@ def parse_result(text: Column) -> Column:
 
 
 def violations(eyes: str | None = "scored") -> Column:
-    """Names of the contract rules that a row breaks."""
+    """Names of the contract rules that a row breaks; only the best side and crop path may be null."""
+    unit = lambda c: c.between(0.0, 1.0)
     in_unit = ("focus_score", "sharpness_score", "clarity_score", "confidence")
-    rules = [(name, ~F.col(name).between(0.0, 1.0)) for name in in_unit]
+    rules = [(name, unit(F.col(name))) for name in in_unit]
+    side = F.col("best_eye_side")
     rules += [
-        ("eye_visible_count", ~F.col("eye_visible_count").between(0, 2)),
-        ("quality_grade", ~F.col("quality_grade").between(0, 4)),
-        ("failure_type", ~F.col("failure_type").isin(*C.FAILURE_TYPES)),
-        ("best_eye_side", ~F.col("best_eye_side").isin(*C.EYE_SIDES)),
+        ("eye_visible_count", F.col("eye_visible_count").between(0, 2)),
+        ("quality_grade", F.col("quality_grade").between(0, 4)),
+        ("failure_type", F.col("failure_type").isin(*C.FAILURE_TYPES)),
+        ("best_eye_side", side.isNull() | side.isin(*C.EYE_SIDES)),
+        ("model_name", F.col("model_name").isNotNull()),
+        ("model_version", F.col("model_version").isNotNull()),
     ]
     if eyes is not None:
 
-        def any_eye(test) -> Column:
-            return F.exists(eyes, test)
+        def every_eye(test) -> Column:
+            return F.forall(eyes, lambda e: F.coalesce(test(e), F.lit(False)))
 
+        box = lambda e: (F.size(e["bbox_norm"]) == 4) & F.forall(e["bbox_norm"], lambda v: v.isNotNull())
         rules += [
-            ("bbox_norm", any_eye(lambda e: F.coalesce(F.size(e["bbox_norm"]), F.lit(0)) != 4)),
-            ("visibility", any_eye(lambda e: ~e["visibility"].isin(*C.VISIBILITIES))),
-            ("eye_side", any_eye(lambda e: ~e["eye_side"].isin(*C.EYE_SIDES))),
-            (
-                "detection_confidence",
-                any_eye(lambda e: ~e["detection_confidence"].between(0.0, 1.0)),
-            ),
+            ("bbox_norm", every_eye(box)),
+            ("visibility", every_eye(lambda e: e["visibility"].isin(*C.VISIBILITIES))),
+            ("eye_side", every_eye(lambda e: e["eye_side"].isin(*C.EYE_SIDES))),
+            ("detection_confidence", every_eye(lambda e: unit(e["detection_confidence"]))),
         ]
+    rules = [(name, ~F.coalesce(holds, F.lit(False))) for name, holds in rules]
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
 
 

@@ -293,7 +293,9 @@ _PHOTO_BOX = {
 
 def photo_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _project(table(spark, sf_dir, "lineitem"), _PHOTO_BOX_KEYS)
-    return _with_keypoints(_project(keyed, _PHOTO_BOX))
+    # Detectors report stored dims; the SQL side has the displayed ones.
+    stored = _PHOTO_BOX | {"image_width": "width", "image_height": "height"}
+    return _with_keypoints(_project(keyed, stored))
 
 
 view("v_photo_box_keys", _select(_PHOTO_BOX_KEYS, "lineitem"))

@@ -66,6 +66,7 @@ summary_views("photo_", "v_photo_ids", "v_photo_focus")
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = D.gate_detections(X.photo_detections(spark, sf_dir))
     best = D.best_detection(gated, tie_break=X.DETECTION_ORDER)
+    best = CR.with_shown_dims(best, X.photo_meta(spark, sf_dir))
     return CR.eye_windows(L.localize(best), F.col("image_width"), F.col("image_height"))
 
 

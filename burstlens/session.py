@@ -42,7 +42,8 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    A private folder is made only where the setting is absent, as in tests.
+    Without it only a local master gets a private folder, as in tests; on a cluster executors
+    could not read what others wrote there, so the setting is asked for.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,7 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    return tempfile.mkdtemp(prefix="burstlens-")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="burstlens-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from burstlens.functions import names as N
 from burstlens.functions.numbers import exact_round
 from burstlens.operators import dataset as DS
-from burstlens.operators.joins import salted_lookup
 from burstlens.operators.ordering import dense_index, group_rank
 
 
@@ -99,14 +98,31 @@ def test_dense_index(spark):
     assert sorted((r.id, r.n) for r in out) == [(i, i + 1) for i in range(len(rows))]
 
 
-def test_salted_lookup_with_hot_key(spark):
-    rows, df = _skewed(spark)
-    lookup = spark.createDataFrame([(g, f"name{g}") for g in range(0, 60, 2)], "g int, name string")
-    for how in ("left", "inner"):
-        salted = salted_lookup(df, lookup, "g", how, hot_rows=100, hot_share=0.05, salts=7)
-        plain = df.join(lookup, "g", how).select(salted.columns)
-        assert salted.count() == plain.count()
-        assert salted.exceptAll(plain).count() == 0
+def test_hot_image_is_a_split_skew_join(spark):
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        anns = spark.range(60_000).repartition(8).select(
+            F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).cast("long").alias("image_id"), "id",
+            F.array(F.rand(1), F.rand(2)).alias("bbox"), F.array(F.rand(3)).alias("keypoints"),
+        )
+        images = spark.range(60_000).select(
+            "id", F.lit("a/b.jpg").alias("file_name"), F.lit(9).alias("width"), F.lit(9).alias("height")
+        )
+        joined = DS.join_annotations(images, anns)
+        assert len(joined.collect()) == 60_000 + 40_000 - 1
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_first_part_id_of_a_name_wins(spark):

@@ -160,17 +160,19 @@ def test_localisation_adds_no_shuffle(spark, sf_dir):
 
 def test_pixels_do_not_shuffle(spark, sf_dir):
     windows = PQ._located(spark, sf_dir).select("image_id", "windows")
-    joined = CR.join_located(X.photos(spark, sf_dir), windows)
+    joined = CR.join_located(X.photos(spark, sf_dir), windows, broadcast=True)
     text = plan(CR.crop_moments(CR.cut_windows(joined)))
-    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    assert "BroadcastHashJoin" in text
+    assert text.count("Exchange hashpartitioning") == plan(windows).count("Exchange hashpartitioning")
 
 
 def test_shuffle_join_gives_the_same_crops(spark, sf_dir):
     windows = PQ._located(spark, sf_dir).select("image_id", "windows")
-    a = CR.crop_moments(CR.cut_windows(CR.join_located(X.photos(spark, sf_dir), windows)))
-    merged = CR.join_located(X.photos(spark, sf_dir), windows, broadcast_images=0)
+    few = CR.join_located(X.photos(spark, sf_dir), windows, broadcast=True)
+    a = CR.crop_moments(CR.cut_windows(few))
+    merged = CR.join_located(X.photos(spark, sf_dir), windows)
     b = CR.crop_moments(CR.cut_windows(merged))
-    assert "SortMergeJoin" in plan(b)
+    assert "ShuffledHashJoin" in plan(b) and "SortMergeJoin" not in plan(b)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
@@ -178,8 +180,9 @@ def test_bucketed_images_stay_in_place(spark, sf_dir, tmp_path):
     spark.sql("DROP TABLE IF EXISTS burst_photos")
     K.write_bucketed_images(X.photos(spark, sf_dir), "burst_photos", 8, str(tmp_path / "photos"))
     windows = PQ._located(spark, sf_dir).select("image_id", "windows")
-    joined = CR.join_located(spark.table("burst_photos"), windows, broadcast_images=0)
-    assert plan(joined).count("Exchange hashpartitioning") == 1
+    joined = CR.join_located(spark.table("burst_photos"), windows)
+    scan = plan(joined).split("burst_photos")[0]
+    assert "ShuffledHashJoin" in scan and scan.rfind("Exchange hashpartitioning") < scan.rfind("ShuffledHashJoin")
     spark.sql("DROP TABLE burst_photos")
 
 

@@ -8,6 +8,7 @@ from burstlens import constants as C
 from burstlens.functions import geometry as G
 from burstlens.functions import scores as S
 from burstlens.functions.pixels import _blur, gaussian_taps, stack_moments
+from burstlens.operators import crops as CR
 from burstlens.operators import detections as D
 from burstlens.operators import localize as L
 from burstlens.operators import scoring as SC
@@ -115,8 +116,23 @@ def test_validate_splits_rows(spark):
     }
 
 
+def test_nulls_break_the_contract(spark):
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SC.summarize(spark.createDataFrame([], f"scored {SC._scored_type()}")).schema if f.name != "scored")
+    row = spark.range(1).select(*[F.lit(None).cast(f.split(" ", 1)[1]).alias(f.split(" ", 1)[0]) for f in fields.split(", ")])
+    found = set(row.select(SC.violations(eyes=None).alias("v")).first().v)
+    assert found == set(SC.SUMMARY_COLUMNS) - {"best_eye_side"}
+
+
+def test_turned_photos_are_judged_as_displayed(spark):
+    """A 100 x 50 photo is 50 x 100 if its axes are swapped; detections carry stored dims."""
+    best = spark.createDataFrame([(o, 100, 50) for o in range(1, 9)], "image_id bigint, image_width bigint, image_height bigint")
+    photos = best.select("image_id", F.lit(100).cast("bigint").alias("width"), F.lit(50).cast("bigint").alias("height"), F.col("image_id").cast("int").alias("orientation"))
+    shown = {r.image_id: (r.image_width, r.image_height) for r in CR.with_shown_dims(best, photos).collect()}
+    assert shown == {o: (50, 100) if o >= 5 else (100, 50) for o in range(1, 9)}
+
+
 def test_too_small_branch(spark):
-    """No head width reaches it under the default gates; a larger crop gate does."""
+    """No head width reaches it under the default gates; nor under a larger crop gate."""
     gates = C.Gates(eye_crop_px=12)
     df = spark.createDataFrame([(5.0, 5.0, 0.4)], "x double, y double, confidence double")
     point = F.struct("x", "y", "confidence")
