@@ -7,13 +7,15 @@ their probability Jaccard similarity, which does not change if one repeats all i
 
 Registers are hashed in bands. Texts that share a bucket are linked to a few leading members of
 it, not to each other; candidates whose registers agree often enough are verified exactly.
-Further rounds link buckets whose members are not yet in one class, until nothing new joins.
+Further turns compare the members of buckets that hold several classes with members of other
+classes, drawn anew for each bucket and turn, until a turn joins nothing new.
 Equal word sequences are one text from the start, and only their first row goes further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from burstlens.llm.repeats import WordHashes, gram_hashes
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6  # two texts of similarity 0.8 share a bucket with probability 0.999
-ROUNDS = 4
+PIVOTS = 6  # classes of a bucket that a turn compares all its members with
 _NO_KEY = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = (0, -1, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)  # xor with these puts rows in other orders
@@ -215,17 +217,26 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _cross_links(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets that hold several classes, with a member of the first and the last."""
-    mixed = F.xxhash64(F.lit(turn), "row")
+    """Members of buckets that hold several classes, with members of up to PIVOTS other classes.
+
+    Class and member are drawn by hash, so that each turn and each bucket tries others, and
+    small classes are drawn as often as large ones.
+    """
     labelled = shared.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    ends = (
-        labelled.withColumn("at", F.struct("label", mixed.alias("mixed"), "row"))
-        .groupBy("bucket")
-        .agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-        .filter("lo.label <> hi.label")
+    pivots = []
+    for i in range(PIVOTS):
+        drawn = F.xxhash64(F.lit(turn), F.lit(i), "bucket", "label").bitwiseAND(F.lit(-(1 << 32)))
+        member = F.xxhash64(F.lit(turn), F.lit(i), "row").bitwiseAND(F.lit((1 << 32) - 1))
+        pivots += [F.min_by(c, drawn.bitwiseOR(member)).alias(f"{c}{i}") for c in ("row", "label")]
+    mixed = (
+        labelled.groupBy("bucket")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *pivots)
+        .filter("lo <> hi")
+    )
+    others = F.array_distinct(
+        F.array(*[F.struct(F.col(f"row{i}").alias("row"), F.col(f"label{i}").alias("label")) for i in range(PIVOTS)])
     )
-    other = F.explode(F.array("lo", "hi")).alias("other")
-    met = labelled.join(ends, "bucket").select("row", "label", other)
+    met = labelled.join(mixed, "bucket").select("row", "label", F.explode(others).alias("other"))
     return _pairs(met.filter("label <> other.label").select("row", F.col("other.row").alias("other")))
 
 
@@ -236,7 +247,6 @@ def near_classes(
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``key``, ``class_id`` (smallest key of its class), ``is_first``, ``n_words``, ``tie``.
 
@@ -296,7 +306,7 @@ def near_classes(
     tried = stored(_pairs(met.select("row", F.explode(leaders).alias("other"))), "pairs")
     edges = checked(tried)
     labels = components(edges)
-    for turn in range(1, rounds):
+    for turn in count(1):  # ends, as each turn but the last joins classes
         fresh = stored(_cross_links(shared, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
