@@ -208,6 +208,20 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after further links, of which there are few: only classes they touch change."""
+    left = labels.select(F.col("row").alias("a"), F.col("label").alias("x"))
+    right = labels.select(F.col("row").alias("b"), F.col("label").alias("y"))
+    ends = edges.join(left, "a", "left").join(right, "b", "left")
+    between = ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+    between = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    step = components(stored(between.distinct(), "links"))
+    to = step.select(F.col("row").alias("label"), F.col("label").alias("to"))
+    moved = labels.join(to, "label", "left").select("row", F.coalesce("to", "label").alias("label"))
+    unknown = step.join(labels.select("row"), "row", "left_anti")
+    return stored(moved.unionByName(unknown), "labels")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return (
         rows.filter("row <> other")
@@ -304,8 +318,7 @@ def near_classes(
 
     leaders = F.array_distinct(F.array(*[F.col(f"m{i}") for i in range(len(_ORDERS))]))
     tried = stored(_pairs(met.select("row", F.explode(leaders).alias("other"))), "pairs")
-    edges = checked(tried)
-    labels = components(edges)
+    labels = components(checked(tried))
     for turn in count(1):  # ends, as each turn but the last joins classes
         fresh = stored(_cross_links(shared, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
@@ -313,8 +326,8 @@ def near_classes(
         more = checked(fresh)
         if more.isEmpty():
             break
-        tried, edges = tried.unionByName(fresh), edges.unionByName(more)
-        labels = components(edges)
+        tried = tried.unionByName(fresh)
+        labels = _joined(labels, more)
 
     # Copies follow their first row, which follows its class's first row.
     lead = (
