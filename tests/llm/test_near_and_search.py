@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from burstlens.llm import near
 from burstlens.llm.near import first_of_classes, near_classes, probability_jaccard, registers
 from burstlens.llm.p_stable import nearest
 
@@ -107,3 +108,30 @@ def test_neighbours(spark):
     assert nearest(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [tuple(r)[:3] for r in nearest(few).collect()] == [(0, 1, 5)]
+
+
+def test_later_links_join_classes(spark):
+    """Labels after later links name the same classes as all links at once."""
+    first, later = [(1, 2), (3, 4), (5, 6)], [(2, 3), (7, 8), (6, 9)]
+    edges = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+
+    def classes(labels):
+        found = {}
+        for r in labels.collect():
+            found.setdefault(r["label"], set()).add(r["row"])
+        return sorted(map(sorted, found.values()))
+
+    step = near._joined(near.components(edges(first)), edges(later))
+    assert classes(step) == [[1, 2, 3, 4], [5, 6, 9], [7, 8]]
+    assert classes(near.components(edges(first + later))) == classes(step)
+    assert classes(near._joined(near.components(edges([])), edges(later))) == [[2, 3], [6, 9], [7, 8]]
+
+
+def test_cross_links_stay_within_bounds(spark):
+    """A bucket of one class gives no pair; mixed ones at most PIVOTS for each member."""
+    rows = [(1, r) for r in range(100)] + [(2, r) for r in range(100, 140)]
+    shared = spark.createDataFrame(rows, "bucket bigint, row bigint")
+    labels = spark.createDataFrame([(r, 100) for r in range(100, 140)], "row bigint, label bigint")
+    got = near._cross_links(shared, labels, 1).collect()
+    assert got and all(r["a"] < r["b"] < 100 for r in got)
+    assert len(got) <= near.PIVOTS * 100
