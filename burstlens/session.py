@@ -53,9 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="burstlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # A running session refuses to change spark.checkpoint.dir, so the context keeps the folder.
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="burstlens-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -20,6 +20,7 @@ from burstlens.plans import dataset_queries as DQ
 from burstlens.plans import fixtures as X
 from burstlens.plans import pixel_queries as PQ
 from burstlens.plans import scoring_queries as SQ
+from burstlens.session import shared_dir
 
 
 def plan(df) -> str:
@@ -205,3 +206,30 @@ def test_gate_reaches_the_scan(spark, tmp_path, sf_dir):
 def test_annotations_are_not_collected(spark, sf_dir):
     text = plan(DS.join_annotations(DQ._coco_images(spark, sf_dir), DQ._annotations(spark, sf_dir)))
     assert "collect_list" not in text and "CartesianProduct" not in text
+
+
+class _Unset:
+    """A session without spark.checkpoint.dir, whose settings cannot be changed."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default=None):
+        return default
+
+    def set(self, key, value):
+        raise AssertionError("a running session refuses this")
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = f"file:{folder}/own"
+
+
+def test_shared_dir_without_setting():
+    local = _Unset("local[2]")
+    assert shared_dir(local) == shared_dir(local) == local.folder
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Unset("spark://host:7077"))
