@@ -7,8 +7,11 @@ limits depend on the number of bytes.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import Counter
 from dataclasses import dataclass
+from math import ceil, floor, log
+from operator import itemgetter
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -19,25 +22,41 @@ from burstlens.llm.common import map_texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
+SIZES = (32, 50, 75, 100, 150, 200, 300, 400, 600, 800, 1200, 1600, 2048, 3200, 6400, 12800, 25600, 51200)
+LIMITS = (
+    (32, 1.187, float("inf")),
+    (50, 1.08, float("inf")),
+    (75, 0.826, 1.12),
+    (100, 0.75, 1.022),
+    (150, 0.68, 0.887),
+    (200, 0.645, 0.815),
+    (300, 0.603, 0.754),
+    (400, 0.585, 0.728),
+    (600, 0.563, 0.672),
+    (800, 0.523, 0.624),
+    (1200, 0.495, 0.573),
+    (1600, 0.482, 0.543),
+    (2048, 0.47, 0.526),
+    (3200, 0.454, 0.495),
+    (6400, 0.431, 0.467),
+    (12800, 0.41, 0.45),
+    (25600, 0.39, 0.44),
+    (51200, 0.354, 0.423),
+)
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of compressed / raw bytes. ``limits`` has (from this many bytes, low, high).
+    """Limits of compressed / raw bytes. ``limits`` has (bytes, low, high).
 
-    A document fails if its whole-text ratio is outside the band of its length, or if chunks
-    outside theirs hold at least ``chunk_share`` of its bytes.
+    Between two sizes the limits are interpolated over the logarithm of the size; beyond the
+    ends they stay. A document fails if its whole-text ratio is outside the band of its length,
+    or if chunks outside theirs hold at least ``chunk_share`` of its bytes. The numbers are
+    ``fit_limits`` of clean labelled prose: the texts of sf0.1 with label quality 1 that pass
+    the base rule, by lang, then doc_id.
     """
 
-    limits: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, float("inf")),
-        (100, 0.32, 1.30),
-        (200, 0.30, 1.00),
-        (400, 0.28, 0.90),
-        (800, 0.25, 0.80),
-        (1600, 0.22, 0.75),
-        (6400, 0.18, 0.72),
-    )
+    limits: tuple[tuple[int, float, float], ...] = LIMITS
     chunk_bytes: int = 2048
     chunk_share: float = 0.5
     level: int = 3
@@ -45,7 +64,40 @@ class Bands:
     max_repeat_percent: int = 20
 
     def of(self, size: int) -> tuple[float, float]:
-        return next((lo, hi) for start, lo, hi in reversed(self.limits) if size >= start)
+        at = bisect(self.limits, size, key=itemgetter(0))
+        if at in (0, len(self.limits)):
+            return self.limits[max(at - 1, 0)][1:]
+        (a, *here), (b, *after) = self.limits[at - 1 : at + 1]
+        part = log(size / a) / log(b / a)
+        return tuple(x + part * (y - x) for x, y in zip(here, after, strict=True))
+
+
+def packer(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
+
+
+def fit_limits(
+    texts: list[bytes], sizes: tuple[int, ...] = SIZES, level: int = 3, most: int = 4000, tail: float = 0.2
+) -> tuple[tuple[int, float, float], ...]:
+    """Limits that leave ``tail`` percent of the prose of each size outside on either side.
+
+    Prose of a size is the first and the last bytes of at most ``most`` texts, and whole texts
+    of within a tenth of it; where fewer than 60 texts are that long, pieces of all joined.
+    Up to 50 bytes nothing shrinks, so these sizes have no high limit.
+    """
+    pack, found = packer(level), []
+    for size in sizes:
+        long = [t for t in texts if len(t) >= size][:most]
+        cut = [c for t in long for c in (t[:size], t[-size:])]
+        cut += [t for t in texts if size / 1.1 <= len(t) <= size * 1.1][:most]
+        if len(long) < 60:
+            joined = b"\n".join(texts)
+            cut += [joined[i : i + size] for i in range(0, len(joined) - size + 1, size)][:most]
+        ratios = sorted(len(pack.compress(c)) / len(c) for c in cut)
+        skip = int(len(ratios) * tail / 100)
+        low, high = floor(1000 * ratios[skip]) / 1000, ceil(1000 * ratios[-1 - skip]) / 1000
+        found.append((size, low, high if size > 50 else float("inf")))
+    return tuple(found)
 
 
 FIELDS = [
@@ -87,19 +139,16 @@ def quality_rules(
 ) -> DataFrame:
     """Word and line counts, compression ratios and the verdict for each row.
 
-    Null and empty texts have no words and fail the base rule; their ratio is null. Texts
-    below 100 bytes have no ratio limits. Equal rows get equal results, every row is judged
+    Null and empty texts have no words and fail the base rule; their ratio is null. Equal rows get equal results, every row is judged
     on its own, and columns other than key and text are not looked at.
     """
     bands = bands or Bands()
 
     def work(texts: list) -> list:
-        packer = zstandard.ZstdCompressor(
-            level=bands.level, write_content_size=False, write_checksum=False
-        )
+        pack = packer(bands.level)
 
         def ratio(raw: bytes) -> float:
-            return len(packer.compress(raw)) / len(raw)
+            return len(pack.compress(raw)) / len(raw)
 
         def outside(raw: bytes, value: float) -> int:
             low, high = bands.of(len(raw))

@@ -1,7 +1,9 @@
 """Operators that work text by text, the mix, and the pipeline."""
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -36,6 +38,29 @@ def test_quality(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_bands_lie_close_around_prose(spark, sf_dir):
+    """What the base rule keeps and the bands reject: text without structure, and noisy prose."""
+    rng = random.Random(4)
+
+    def noise(letters, size):
+        return " ".join("".join(rng.choices(letters, k=9)) for _ in range(size // 10 + 1))[:size]
+
+    code = string.ascii_letters + string.digits + "+/"
+    junk = [noise(code, n) for n in (150, 400, 1000, 1500, 2048, 5000, 50000)]
+    junk += [noise(string.ascii_lowercase, n) for n in (800, 1500, 2048, 5000, 50000)]
+    junk += [noise("0123456789abcdef", n) for n in (2048, 5000, 50000)]  # shorter hex shrinks just as prose
+    junk += [" ".join(f"{w} {w}" for w in PROSE.split()[:n]) for n in (14, 20)]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id")
+    prose = [t for (t,) in docs.orderBy("doc_id").select("text").collect()]
+    junk += ["\n".join(" | ".join(t.split()) + " |" for t in p.split("\n")) for p in prose if len(p) > 2500][:5]
+    junk += [" ".join(f"{w}{rng.choice(['***', '%%%', '$$$'])}" for w in p.split()) for p in prose if len(p) > 800][:5]
+    found = quality_rules(frame(spark, junk)).orderBy("doc_id").collect()
+    assert [(i, r["reason"]) for i, r in enumerate(found) if r["kept"] or r["base_failed"]] == []
+    rows = quality_rules(frame(spark, prose)).filter("not base_failed")
+    assert rows.filter("kept").count() >= 0.97 * rows.count() > 20
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
