@@ -7,15 +7,16 @@ their probability Jaccard similarity, which does not change if one repeats all i
 
 Registers are hashed in bands. Texts that share a bucket are linked to a few leading members of
 it, not to each other; candidates whose registers agree often enough are verified exactly.
-Further turns compare the members of buckets that hold several classes with members of other
-classes, drawn anew for each bucket and turn, until a turn joins nothing new.
+A few further turns compare the members of buckets that hold several classes with members of
+other classes, drawn anew for each bucket and turn. They only make classes fewer: the last
+step compares the sketches of all pairs that share a bucket and are still in different
+classes, so that no link is left to chance.
 Equal word sequences are one text from the start, and only their first row goes further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6  # two texts of similarity 0.8 share a bucket with probability 0.999
 PIVOTS = 6  # classes of a bucket that a turn compares all its members with
+TURNS = 2  # such turns before all remaining pairs are compared
+PART = 4_096  # rows of a bucket that one task compares with those of other classes at once
+PAIRS = 1_000_000  # pairs of one numpy pass; only memory depends on it
+HELD = 2_000_000  # shingles that a task keeps at hand for further pairs; only memory depends on it
 _NO_KEY = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = (0, -1, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)  # xor with these puts rows in other orders
@@ -133,12 +138,56 @@ def _alike(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for k in (2, 3)
-            )
-            agree = ((a == b).mean(1) - 1 / 256) / (1 - 1 / 256)  # a byte may agree by chance
-            yield batch.filter(pa.array(agree >= least)).select([0, 1])
+            a, b = _sketches(batch.column(2)), _sketches(batch.column(3))
+            yield batch.filter(pa.array((a == b).sum(1) >= _agreeing(least, a.shape[1]))).select([0, 1])
+
+    return run
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _agreeing(least: float, size: int) -> float:
+    """Equal bytes of a sketch that ``least`` stands for; a byte may agree by chance."""
+    return size * (least * (1 - 1 / 256) + 1 / 256)
+
+
+def _all_alike(least: float):
+    """Like ``_alike`` for all pairs of a part of a bucket, its asking rows first.
+
+    Pairs within a class are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, asked = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, part, is_row, row, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            sketch = _sketches(batch.column(5))
+            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
+            ends = [0, *change.tolist(), batch.num_rows]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                if (bucket[lo], part[lo]) != current:
+                    current, asked = (bucket[lo], part[lo]), []
+                split = lo + int(np.searchsorted(is_row[lo:hi], 1))
+                if split > lo:
+                    asked.append((row[lo:split], label[lo:split], sketch[lo:split].T.copy()))
+                for ids, classes, other in asked:
+                    step = max(1, PAIRS // len(ids))
+                    for at in range(split, hi, step):
+                        to = min(hi, at + step)
+                        agree = np.zeros((to - at, len(ids)), np.uint16)
+                        for k, theirs in enumerate(other):
+                            agree += sketch[at:to, k, None] == theirs
+                        found = agree >= _agreeing(least, len(other))
+                        x, y = np.nonzero(found & (label[at:to, None] != classes))
+                        if len(x):
+                            a, b = row[at:to][x], ids[y]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+                            )
 
     return run
 
@@ -149,14 +198,18 @@ def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         last: dict = {}
+        held = 0
 
         def weighted(row: int, text: str) -> tuple:
+            nonlocal held
             if row not in last:
-                if len(last) > 16:
+                if held > HELD:
                     last.clear()
+                    held = 0
                 words = text.encode().split()
                 hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 last[row] = np.unique(shingles(hashes), return_counts=True)
+                held += len(words)
             return last[row]
 
         for batch in batches:
@@ -254,6 +307,31 @@ def _cross_links(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return _pairs(met.filter("label <> other.label").select("row", F.col("other.row").alias("other")))
 
 
+def _rest(shared: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """All pairs of rows that share a bucket, not a class, and whose sketches are alike.
+
+    Rows of the largest class of a bucket lie in one part of it, all others also ask in every
+    part; so a class costs no more than its size for each row beside it.
+    """
+    labelled = shared.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    mixed = (
+        labelled.groupBy("bucket", "label")
+        .agg(F.count("*").alias("n"))
+        .groupBy("bucket")
+        .agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+        .filter("classes > 1")
+        .select("bucket", F.col("most.label").alias("most"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    )
+    members = stored(labelled.join(mixed, "bucket").join(sketches, "row"), "members")
+    facts = ["row", "label", "sketch"]
+    here = members.select("bucket", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"), F.lit(1).alias("is_row"), *facts)
+    there = members.filter("label <> most").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("is_row"), *facts
+    )
+    both = here.unionByName(there).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "is_row")
+    return both.mapInArrow(_all_alike(least), _EDGES).distinct()
+
+
 def near_classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -311,23 +389,25 @@ def near_classes(
     sketches = some.select("row", "sketch")
     slack = 4 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        alike = _sides(pairs, sketches, "sketch").mapInArrow(_alike(similarity - slack), _EDGES)
+    def verified(alike: DataFrame) -> DataFrame:
         sure = _sides(alike, bodies, "text").mapInArrow(_verified(similarity), _EDGES).distinct()
         return stored(sure, "edges")
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verified(_sides(pairs, sketches, "sketch").mapInArrow(_alike(similarity - slack), _EDGES))
+
     leaders = F.array_distinct(F.array(*[F.col(f"m{i}") for i in range(len(_ORDERS))]))
     tried = stored(_pairs(met.select("row", F.explode(leaders).alias("other"))), "pairs")
     labels = components(checked(tried))
-    for turn in count(1):  # ends, as each turn but the last joins classes
+    for turn in range(1, TURNS + 1):
         fresh = stored(_cross_links(shared, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
         more = checked(fresh)
+        tried = tried.unionByName(fresh)
         if more.isEmpty():
             break
-        tried = tried.unionByName(fresh)
         labels = _joined(labels, more)
+    rest = stored(_rest(shared, labels, sketches, similarity - slack).join(tried, ["a", "b"], "left_anti"), "rest")
+    labels = _joined(labels, verified(rest))
 
     # Copies follow their first row, which follows its class's first row.
     lead = (

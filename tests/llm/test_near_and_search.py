@@ -135,3 +135,24 @@ def test_cross_links_stay_within_bounds(spark):
     got = near._cross_links(shared, labels, 1).collect()
     assert got and all(r["a"] < r["b"] < 100 for r in got)
     assert len(got) <= near.PIVOTS * 100
+
+
+def test_no_link_is_left_to_the_draw(spark, monkeypatch):
+    """Planted pairs of 0.8 or more in a family just below it are found without pivot turns, with one leader."""
+    rng = random.Random(5)
+    common = [f"t{i}" for i in range(300)]
+    texts = []
+    for n in range(30):
+        shared = [f"p{n}x{i}" for i in range(16)]
+        texts += [" ".join(common + shared + [f"u{n}s{side}x{i}" for i in range(32)]) for side in (0, 1)]
+    order = list(range(60))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(near, "_cross_links", lambda *_: none)
+    monkeypatch.setattr(near, "_ORDERS", (0,))
+    monkeypatch.setattr(near, "PART", 16, raising=False)
+    classes = {}
+    for r in near_classes(df).collect():
+        classes.setdefault(r["class_id"], set()).add(order[r["doc_id"]] // 2)
+    assert sorted(map(sorted, classes.values())) == [[n] for n in range(30)]
