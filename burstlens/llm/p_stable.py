@@ -4,7 +4,9 @@ A table hashes a vector to ``floor((a x + b) / w)`` for a few Gaussian (2-stable
 ``a``. A neighbour at distance r lies normally distributed around the query along each
 direction, so each perturbed bucket has a success probability; a query visits the buckets of
 each table in falling order of it. Candidates of all tables are merged and ranked by their
-exact distance.
+exact distance. The tenth found bounds the distance of the true tenth: queries for which it is
+farther than their probes were chosen for probe again for that distance, and those that found
+fewer, or cannot reach the success, are compared with all rows in blocks.
 
 Equal vectors are one candidate with its smallest ids, and equal queries are searched once, so
 a vector that a third of all rows share costs no more than any other. Rows meet queries by
@@ -76,8 +78,9 @@ class Tables:
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + slots[..., i].astype(np.int64).view(np.uint64))
         return key.view(np.int64)
 
-    def probes(self, x: np.ndarray, success: float) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the most promising buckets of each table, rows x tables x probes, and which count.
+    def probes(self, x: np.ndarray, radius: np.ndarray, success: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the most promising buckets of each table, rows x tables x probes, which count,
+        and the rows for which they reach ``success`` for a neighbour at their ``radius``.
 
         Buckets are visited until the estimate that one of all tables holds a neighbour
         reaches ``success``. Directions are taken one after the other; the best partial
@@ -90,7 +93,7 @@ class Tables:
         place = self.project(x)
         home = np.floor(place)
         inside = (place - home)[..., None]
-        edges = (np.arange(-1, 3) - inside) * self.width / self.radius
+        edges = (np.arange(-1, 3) - inside) * self.width / radius[:, None, None, None]
         below = 0.5 * (1 + _ERF(edges / sqrt(2)).astype(float))
         cost = -np.log(np.maximum(np.diff(below, axis=-1), 1e-12))  # slots -1, 0, +1
         total = np.zeros((*home.shape[:2], 1))
@@ -104,7 +107,9 @@ class Tables:
                 [np.take_along_axis(moves, (order // 3)[..., None], 2), step[order % 3][..., None]], -1
             )
         chance = np.exp(-total)
-        return self.keys(home[:, :, None, :] + moves), np.cumsum(chance, -1) - chance < enough
+        visited = np.cumsum(chance, -1) - chance < enough
+        missed = np.prod(1 - np.minimum((chance * visited).sum(-1), 1), -1)
+        return self.keys(home[:, :, None, :] + moves), visited, missed <= 1 - success + 1e-9
 
 
 def _index(tables: Tables):
@@ -124,12 +129,13 @@ def _probe(tables: Tables, success: float):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                keys, visited = tables.probes(_matrix(part.column(1)), success)
+                radius = part.column(2).to_numpy(zero_copy_only=False)
+                keys, visited, reached = tables.probes(_matrix(part.column(1)), radius, success)
                 offsets = np.concatenate([[0], np.cumsum(visited.sum((1, 2)))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[visited]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), lists],
-                    names=["id", "vec", "keys"],
+                    [part.column(0), part.column(1), lists, pa.array(reached)],
+                    names=["id", "vec", "keys", "reached"],
                 )
 
     return run
@@ -267,9 +273,15 @@ def nearest(
     asked = stored(
         asked.join(classes.select("vec", F.col("id").alias("class")), "vec").select("id", "class", "vec"), "queries"
     )
-    probes = asked.groupBy("class").agg(F.first("vec").alias("vec")).mapInArrow(
-        _probe(fitted, success), f"id bigint, vec {kind}, keys array<bigint>"
-    )
+    searched = asked.groupBy("class").agg(F.first("vec").alias("vec")).withColumnRenamed("class", "id")
+
+    def probed(queries: DataFrame) -> DataFrame:
+        found = queries.select("id", "vec", "radius").mapInArrow(
+            _probe(fitted, success), f"id bigint, vec {kind}, keys array<bigint>, reached boolean"
+        )
+        return stored(found, "probes")
+
+    probes = probed(searched.withColumn("radius", F.lit(fitted.radius)))
     hot = (
         index.select(F.explode("keys").alias("bucket"))
         .groupBy("bucket")
@@ -284,21 +296,53 @@ def nearest(
         .join(hot, "bucket", "left")
         .select("bucket", F.pmod(F.xxhash64("id"), parts).cast("int").alias("salt"), F.lit(1).alias("is_row"), "id", "vec")
     )
-    there = (
-        probes.select("id", "vec", F.explode("keys").alias("bucket"))
-        .join(hot, "bucket", "left")
-        .select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("is_row"), "id", "vec")
-    )
-    found = (
-        here.unionByName(there)
-        .repartition("bucket", "salt")
-        .sortWithinPartitions("bucket", "salt", "is_row")
-        .mapInArrow(_compare(top + 1), "query bigint, found bigint, score double")
-        .groupBy("query", "found")
-        .agg(F.min("score").alias("score"))
-    )
     nearest_first = Window.partitionBy("query").orderBy("score", "found")
-    near = found.withColumn("place", F.row_number().over(nearest_first)).filter(F.col("place") <= top + 1)
+
+    def compared(rows: DataFrame, queries: DataFrame) -> DataFrame:
+        return (
+            rows.unionByName(queries)
+            .repartition("bucket", "salt")
+            .sortWithinPartitions("bucket", "salt", "is_row")
+            .mapInArrow(_compare(top + 1), "query bigint, found bigint, score double")
+        )
+
+    def met(probes: DataFrame) -> DataFrame:
+        there = (
+            probes.select("id", "vec", F.explode("keys").alias("bucket"))
+            .join(hot, "bucket", "left")
+            .select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("is_row"), "id", "vec")
+        )
+        return compared(here, there)
+
+    def against_all(queries: DataFrame) -> DataFrame:
+        blocks = ceil(fact["n"] / HOT)
+        place = lambda salt, is_row: [
+            F.lit(0).cast("bigint").alias("bucket"), salt.cast("int").alias("salt"), F.lit(is_row).alias("is_row"), "id", "vec"
+        ]
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        return compared(
+            classes.select(*place(F.pmod(F.xxhash64("id"), F.lit(blocks)), 1)),
+            queries.withColumn("block", every).select(*place(F.col("block"), 0)),
+        )
+
+    def best(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query", "found").agg(F.min("score").alias("score"))
+        return once.withColumn("place", F.row_number().over(nearest_first)).filter(F.col("place") <= top + 1)
+
+    near = stored(best(met(probes)).drop("place"), "near")
+    sizes = classes.select(F.col("id").alias("found"), F.size("ids").alias("n_ids"))
+    reach = (
+        near.join(sizes, "found")
+        .withColumn("n_found", F.sum("n_ids").over(nearest_first))
+        .groupBy(F.col("query").alias("id"))
+        .agg(F.min(F.when(F.col("n_found") > top, F.col("score"))).alias("radius"))
+    )
+    state = probes.select("id", "vec", "reached").join(reach, "id", "left")
+    state = stored(state.filter(F.col("radius").isNull() | (F.col("radius") > fitted.radius) | ~F.col("reached")), "badly")
+    farther = state.filter("radius is not null").withColumn("radius", F.greatest("radius", F.lit(fitted.radius)))
+    again = probed(farther)
+    rest = state.filter("radius is null").select("id", "vec").unionByName(again.filter("not reached").select("id", "vec"))
+    near = best(near.unionByName(met(again.filter("reached"))).unionByName(against_all(rest)))
     members = classes.select(F.col("id").alias("found"), "ids")
     per_query = (
         near.join(members, "found")

@@ -156,3 +156,21 @@ def test_no_link_is_left_to_the_draw(spark, monkeypatch):
     for r in near_classes(df).collect():
         classes.setdefault(r["class_id"], set()).add(order[r["doc_id"]] // 2)
     assert sorted(map(sorted, classes.values())) == [[n] for n in range(30)]
+
+
+def test_badly_served_queries_are_completed(spark):
+    """Queries in sparse regions, and tables with few rows, get all their neighbours."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1200, 16))
+    x[::100] *= 3
+    few = rng.standard_normal((11, 16))
+    for vectors, least in ((x, 7), (few, 10)):
+        rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+        got = {}
+        for r in nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        for q in range(0, len(vectors), 100):
+            d = ((vectors - vectors[q]) ** 2).sum(1)
+            d[q] = np.inf
+            assert len(got[q]) == 10
+            assert len(got[q] & set(np.argsort(d)[:10].tolist())) >= least
