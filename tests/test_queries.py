@@ -1,12 +1,13 @@
-"""Every registered query against its reference SQL, over whole tables."""
+"""Every registered query of the library proper against its reference SQL, over whole tables."""
 
 import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_module
+from burstlens import plans
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = plans.queries()
+ORACLES = plans.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -21,3 +22,8 @@ def test_query(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1500
+
+
+def test_entry_registers_every_query():
+    assert QUERIES.keys() <= entry_module.queries().keys()
+    assert QUERIES.keys() == ORACLES.keys() <= entry_module.oracle_sql().keys()
