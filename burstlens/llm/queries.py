@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlens.llm.alignment import cross_align
 from burstlens.llm.chat import chat_digest, chat_windows
 from burstlens.llm.common import table
 from burstlens.llm.fm_index import dedup_substrings
@@ -17,7 +18,10 @@ from burstlens.llm.p_stable import nearest
 from burstlens.llm.pieces import sample_pieces
 from burstlens.llm.quality import quality_rules
 from burstlens.llm.suffix_merge import dedup_suffixes, suffix_digest
+from burstlens.llm.token_table import token_digest, write_token_table
 from burstlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from burstlens.llm.whitening import whiten
+from burstlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +105,22 @@ def op3_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", F.col("is_first").alias("kept"), "n_words")
+
+
+@query
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    # Sums of squares that no long holds are null here; the operator has them as decimals.
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-table")
+    write_token_table(table(spark, sf_dir, "documents"), path)
+    return token_digest(spark, path)
+
+
+@query
+def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align(table(spark, sf_dir, "documents"))
