@@ -34,6 +34,7 @@ NOTE_NO_EYES = "no_visible_eyes"
 NOTE_SKIPPED = "skipped"
 ERROR_MISSING = "file_not_found"
 ERROR_DECODE = "decode_error"
+ERROR_NOT_SCORED = "not_scored"
 
 # --- fixed values: tags written into every result ----------------------------
 SUMMARY_FIELD = "eye_quality"

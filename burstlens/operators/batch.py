@@ -15,13 +15,17 @@ def score_batch(manifest: DataFrame, listing: DataFrame, scored: DataFrame) -> D
     ``listing`` holds the files that exist (unique ``path``) and ``scored`` the scored
     images with their ``path`` (unique) and ``decoded``. An image is scored once however
     many lines name it; adaptive skew join splits a path that very many lines name. Failures
-    become rows, so one bad image does not lose the batch.
+    become rows, so one bad image does not lose the batch: a file that is missing, that cannot
+    be decoded (``decoded`` is false), or that ``scored`` does not know.
     """
-    results = to_result(scored.withColumn("_decoded", F.col("decoded")), "path", "_decoded")
+    whole = F.coalesce(F.col("decoded"), F.lit(False))
+    results = to_result(scored.withColumn("_decoded", whole), "path", "_decoded")
     known = listing.select("path", F.lit(True).alias("_exists")).join(results, "path", "left")
     rows = manifest.join(known, "path", "left")
-    error = F.when(F.col("_exists").isNull(), F.lit(C.ERROR_MISSING)).when(
-        ~F.coalesce(F.col("_decoded"), F.lit(False)), F.lit(C.ERROR_DECODE)
+    error = (
+        F.when(F.col("_exists").isNull(), F.lit(C.ERROR_MISSING))
+        .when(F.col("_decoded").isNull(), F.lit(C.ERROR_NOT_SCORED))
+        .when(~F.col("_decoded"), F.lit(C.ERROR_DECODE))
     )
     return rows.select(
         *manifest.columns, error.alias("error"), F.when(error.isNull(), F.col("result")).alias("result")

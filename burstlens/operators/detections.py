@@ -67,10 +67,17 @@ def best_of_array(detections: Column, width: Column, height: Column, gates: Gate
     return F.array_max(ranked)["d"]
 
 
-def flatten_best(df: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
-    """Nested layout (one row per image) to the row of its best detection."""
+def flatten_best(
+    df: DataFrame, gates: Gates = DEFAULT_GATES, keep_all: bool = False
+) -> DataFrame:
+    """Nested layout (one row per image) to the row of its best detection.
+
+    Images without one are left out, or have nulls with ``keep_all``.
+    """
     best = best_of_array(F.col("detections"), F.col("image_width"), F.col("image_height"), gates)
-    picked = df.withColumn("best", best).filter(F.col("best").isNotNull())
+    picked = df.withColumn("best", best)
+    if not keep_all:
+        picked = picked.filter(F.col("best").isNotNull())
     others = [c for c in df.columns if c != "detections"]
     return with_area(picked.select(*others, "best.*"))
 

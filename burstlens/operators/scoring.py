@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from burstlens import constants as C
 from burstlens.constants import DEFAULT_GATES, Gates
+from burstlens.functions import geometry as G
 from burstlens.functions import scores as S
 from burstlens.functions.names import crop_path
 from burstlens.operators.crops import eye_windows, join_located, measure_eyes, with_shown_dims
-from burstlens.operators.detections import best_detection, gate_detections
+from burstlens.operators.detections import best_detection, flatten_best, gate_detections
 from burstlens.operators.localize import localization_notes, localize, notes
 from burstlens.schemas import EYE_DETECTION, MOMENTS, RESULT
 
@@ -270,15 +271,149 @@ def score_photos(
     narrow = eye_windows(located, F.col("image_width"), F.col("image_height")).select(
         key, "eyes", "windows", "pose_keypoints", F.lit(True).alias("_found")
     )
-    measured = measure_eyes(join_located(photos, narrow, key, "left"))
-    wide = measured.select(
-        "*", *[F.col(f"m{i}")[n].alias(f"m{i}_{n}") for i in (0, 1) for n in _MOMENT_NAMES]
-    ).drop("m0", "m1")
+    wide = _measured_wide(join_located(photos, narrow, key, "left"))
     noted = wide.withColumn("notes", notes(F.col("_found"), F.col("eyes"))).drop("_found")
     source = path if path is not None else F.col(key).cast("string")
     return summarize(_score_wide(noted, source, crop_base))
 
 
+def _measured_wide(joined: DataFrame) -> DataFrame:
+    """Images with ``windows``: the moments of both eyes as ``m0_*`` and ``m1_*``."""
+    moments = [F.col(f"m{i}")[n].alias(f"m{i}_{n}") for i in (0, 1) for n in _MOMENT_NAMES]
+    return measure_eyes(joined).select("*", *moments).drop("m0", "m1")
+
+
+def _in_shown_dims(joined: DataFrame) -> DataFrame:
+    """Adds the dims as displayed, as ``image_width`` and ``image_height``."""
+    turn = F.when(F.col("orientation").between(1, 8), F.col("orientation")).otherwise(1)
+    turned = joined.withColumn("orientation", turn.cast("int"))
+    shown = G.oriented_dims(F.col("width"), F.col("height"), F.col("orientation"))
+    return turned.withColumns({"image_width": shown["width"], "image_height": shown["height"]})
+
+
+# What is known about the best detection of an image, besides the image itself.
+_BEST_COLUMNS = ("x1", "y1", "x2", "y2", "bbox_confidence", "bbox_area_frac", "keypoints")
+
+
+def score_files(
+    images: DataFrame,
+    detections: DataFrame | None = None,
+    orientations: DataFrame | None = None,
+    key: str = "path",
+    tie_break: Sequence[str] = ("det_idx",),
+    gates: Gates = DEFAULT_GATES,
+    crop_base: str | None = None,
+) -> DataFrame:
+    """Decoded image files (see ``sources.read_images``) to one scored row per file.
+
+    ``detections`` are flat rows with the file's ``path``, in stored dims; without them each
+    image row carries its own array of ``detections`` (see ``predict.with_detections``) and
+    nothing is joined. ``orientations`` has ``path`` and ``orientation`` (unique by path); files
+    without one, or with a value outside 1 to 8, are shown as stored.
+
+    A file that cannot be decoded stays a row with ``error``, its summary and notes null. The
+    small sides meet first; the files are decoded once and meet them in one hash join, and what
+    needs an image's dims is judged after it, so dims cost no second decoding.
+    """
+    usable = F.coalesce(F.col("decoded"), F.lit(False))
+    stored_dims = {"image_width": F.col("width"), "image_height": F.col("height")}
+    if detections is not None:
+        best = best_detection(gate_detections(detections, gates), key, tie_break)
+        small = best.select(key, *_BEST_COLUMNS, F.lit(True).alias("_found"))
+        if orientations is not None:
+            small = small.join(orientations.select(key, "orientation"), key, "full")
+        joined = join_located(images, small, key, "left")
+    else:
+        boxes = F.when(usable, F.col("detections"))
+        picked = flatten_best(
+            images.withColumns(stored_dims).withColumn("detections", boxes), gates, keep_all=True
+        )
+        joined = picked.withColumn("_found", F.col("keypoints").isNotNull())
+        if orientations is not None:
+            joined = join_located(joined, orientations.select(key, "orientation"), key, "left")
+    if orientations is None:
+        joined = joined.withColumn("orientation", F.lit(1))
+    located = localize(_in_shown_dims(joined), gates)
+    found = F.coalesce(F.col("_found"), F.lit(False)) & usable
+    eyes = {n: F.when(found, F.col(n)) for n in ("eyes", "pose_keypoints")}
+    windows = eye_windows(
+        located.withColumns(eyes), F.col("image_width"), F.col("image_height")
+    ).drop(*_BEST_COLUMNS, "det_idx", "head_width_px", "turned_away", "detections")
+    wide = _measured_wide(windows)
+    noted = wide.withColumn("notes", notes(F.when(found, True), F.col("eyes"))).drop("_found")
+    scored = summarize(_score_wide(noted, F.col(key), crop_base))
+    error = F.when(~usable, F.lit(C.ERROR_DECODE))
+    held = {n: F.when(usable, F.col(n)) for n in (*SUMMARY_COLUMNS, "notes")}
+    return scored.withColumns(held).withColumn("error", error)
+
+
+def nest_located(eyes: DataFrame, key: str = "image_id") -> DataFrame:
+    """Located eyes, one row each, to one row per image with an ``eyes`` array, left first.
+
+    Of several eyes of one side the most confident one counts, then the one farther right and
+    down; rows of another side than ``left`` and ``right`` do not count.
+    """
+    kinds = {
+        "confidence": "double",
+        "center_x": "double",
+        "center_y": "double",
+        "visibility": "string",
+        "bbox_norm": "array<double>",
+        "head_width_px": "double",
+        "subject_area_frac": "double",
+    }
+    cells = [
+        (F.col(n) if n in eyes.columns else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()
+    ]
+    best = [
+        F.max(F.when(F.col("eye_side") == side, F.struct(*cells))).alias(f"_e{i}")
+        for i, side in enumerate(C.EYE_SIDES)
+    ]
+    named = [
+        F.when(
+            F.col(f"_e{i}").isNotNull(),
+            F.struct(
+                F.lit(side).alias("eye_side"),
+                F.lit(i).alias("eye_idx"),
+                *[F.col(f"_e{i}")[n].alias(n) for n in kinds],
+            ),
+        )
+        for i, side in enumerate(C.EYE_SIDES)
+    ]
+    return eyes.groupBy(key).agg(*best).select(key, F.array_compact(F.array(*named)).alias("eyes"))
+
+
+def score_located(
+    photos: DataFrame,
+    eyes: DataFrame,
+    extras: DataFrame | None = None,
+    key: str = "image_id",
+    crop_base: str | None = None,
+    path: Column | None = None,
+) -> DataFrame:
+    """Images with pixels and eyes that somebody else has located to one scored row per image.
+
+    ``eyes`` has ``eye_side, center_x, center_y, confidence, visibility, bbox_norm`` and
+    ``head_width_px`` in displayed coordinates and is taken as it is: no gate, cascade or
+    retention is applied, so eyes may be ``hidden`` or ``too_small``. ``extras`` may bring
+    ``pose_keypoints`` and ``notes`` of an image. Images without an eye get the empty summary.
+    """
+    none = {
+        "pose_keypoints": F.array().cast("array<array<double>>"),
+        "notes": F.array().cast("array<string>"),
+    }
+    small = nest_located(eyes, key)
+    if extras is not None:
+        small = small.join(extras.select(key, *none), key, "full")
+    else:
+        small = small.withColumns(none)
+    joined = _in_shown_dims(join_located(photos, small, key, "left"))
+    windows = eye_windows(joined, F.col("image_width"), F.col("image_height"))
+    wide = _measured_wide(windows).withColumns({n: F.coalesce(F.col(n), c) for n, c in none.items()})
+    source = path if path is not None else F.col(key).cast("string")
+    return summarize(_score_wide(wide, source, crop_base))
+
+
 def detections_array(scored: Column) -> Column:
     """All eyes of an image, visible or not, in the shape of the document."""
     return F.transform(

@@ -302,6 +302,45 @@ view("v_photo_box_keys", _select(_PHOTO_BOX_KEYS, "lineitem"))
 view("v_photo_boxes", _select(_PHOTO_BOX, "v_photo_box_keys"))
 view("v_photo_detections", _keypoints_sql("v_photo_boxes"))
 
+# Eyes that somebody else has located: of the photos, in displayed coordinates.
+_GIVEN_SHOWN = {
+    "image_id": "image_id",
+    "dw": "CASE WHEN orientation >= 5 THEN height ELSE width END",
+    "dh": "CASE WHEN orientation >= 5 THEN width ELSE height END",
+    "eye_idx": "eye_idx",
+}
+_GIVEN_EYE = {
+    "image_id": "image_id",
+    "eye_idx": "eye_idx",
+    "eye_side": "CASE eye_idx WHEN 0 THEN 'left' ELSE 'right' END",
+    "center_x": "(image_id * 7 + eye_idx * 13) % (dw + 6) - CAST(3 AS DOUBLE)",
+    "center_y": "(image_id * 11 + eye_idx * 5) % (dh + 6) - CAST(2.5 AS DOUBLE)",
+    "confidence": "(image_id * 37 + eye_idx * 291) % 1001 / CAST(1000 AS DOUBLE)",
+    "visibility": "CASE (image_id + eye_idx * 2) % 8 WHEN 0 THEN 'hidden' WHEN 1 THEN 'too_small' "
+    "WHEN 2 THEN 'turned_away' WHEN 3 THEN 'partially_visible' WHEN 4 THEN 'occluded' "
+    "ELSE 'visible' END",
+    "head_width_px": "40 + (image_id * 3 + eye_idx * 17) % 160 / CAST(2 AS DOUBLE)",
+}
+_GIVEN_EXISTS = "(image_id + eye_idx) % 5 <> 0"
+
+
+def given_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two eyes per photo, some photos without any, in no order."""
+    sides = F.explode(F.array(F.lit(1), F.lit(0))).alias("eye_idx")
+    shown = photo_meta(spark, sf_dir).select("*", sides).filter(_GIVEN_EXISTS)
+    eyes = _project(_project(shown, _GIVEN_SHOWN), _GIVEN_EYE)
+    return eyes.drop("eye_idx").withColumn("bbox_norm", F.array(*[F.lit(0.25)] * 4))
+
+
+view(
+    "v_given_shown",
+    _select(
+        _GIVEN_SHOWN,
+        f"(SELECT *, unnest([0, 1]) AS eye_idx FROM v_photos) WHERE {_GIVEN_EXISTS}",
+    ),
+)
+GIVEN_EYES_SQL = _select(_GIVEN_EYE, "v_given_shown")
+
 # --- annotation tables, from orders -----------------------------------------------
 _NOTES_IMAGE = {
     "image_id": "o_orderkey",

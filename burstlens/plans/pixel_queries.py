@@ -15,6 +15,7 @@ from burstlens.operators import scoring as SC
 from burstlens.plans import fixtures as X
 from burstlens.plans.localization_queries import localization_views
 from burstlens.plans.registry import query, view
+from burstlens.sources import images as SR
 from burstlens.plans.scoring_queries import (
     metric_views,
     moment_views,
@@ -27,40 +28,45 @@ localization_views("photo_", "v_photo_detections")
 _RADIUS = "CAST(round_even(greatest(e.head_width_px * 0.12, 12.0), 0) AS INTEGER)"
 _CX = "CAST(round_even(e.center_x, 0) AS INTEGER)"
 _CY = "CAST(round_even(e.center_y, 0) AS INTEGER)"
-view(
-    "v_photo_windows",
-    f"""SELECT d.*, e.eye_side, e.eye_idx, e.visibility, e.confidence,
-  greatest(0, {_CX} - {_RADIUS}) AS u1, greatest(0, {_CY} - {_RADIUS}) AS v1,
-  least(d.dw, {_CX} + {_RADIUS}) AS u2, least(d.dh, {_CY} + {_RADIUS}) AS v2
-FROM v_photo_eyes e JOIN v_displayed d ON e.image_id = d.image_id""",
-)
-view(
-    "v_photo_shapes",
-    """SELECT *, CASE WHEN u2 <= u1 OR v2 <= v1 THEN 0 ELSE u2 - u1 END AS w,
-  CASE WHEN u2 <= u1 OR v2 <= v1 THEN 0 ELSE v2 - v1 END AS h FROM v_photo_windows""",
-)
-
-
 def _gray_at(u: str, v: str) -> str:
     sx, sy = X.stored_xy(u, v)
     return X.GRAY_SQL.replace("sx", f"({sx})").replace("sy", f"({sy})")
 
 
-view(
-    "v_photo_crops",
-    f"""SELECT image_id, eye_side, eye_idx, visibility, confidence, w AS shown_px,
+def crop_views(p: str) -> None:
+    """Reference views from ``v_<p>eyes`` on photos to ``v_<p>summary``."""
+    view(
+        f"v_{p}windows",
+        f"""SELECT d.*, e.eye_side, e.eye_idx, e.visibility, e.confidence,
+  greatest(0, {_CX} - {_RADIUS}) AS u1, greatest(0, {_CY} - {_RADIUS}) AS v1,
+  least(d.dw, {_CX} + {_RADIUS}) AS u2, least(d.dh, {_CY} + {_RADIUS}) AS v2
+FROM v_{p}eyes e JOIN v_displayed d ON e.image_id = d.image_id""",
+    )
+    view(
+        f"v_{p}shapes",
+        f"""SELECT *, CASE WHEN u2 <= u1 OR v2 <= v1 THEN 0 ELSE u2 - u1 END AS w,
+  CASE WHEN u2 <= u1 OR v2 <= v1 THEN 0 ELSE v2 - v1 END AS h FROM v_{p}windows""",
+    )
+    view(
+        f"v_{p}crops",
+        f"""SELECT image_id, eye_side, eye_idx, visibility, confidence, w AS shown_px,
   image_id * 2 + eye_idx AS key, CAST(h AS BIGINT) AS h, CAST(w AS BIGINT) AS w,
   [{_gray_at("(u1 + i % w)", "(v1 + i // w)")} for i in range(w * h)] AS g
-FROM v_photo_shapes""",
-)
-moment_views(
-    "v_photo_moments",
-    "v_photo_crops",
-    "image_id, eye_side, eye_idx, visibility, confidence, shown_px",
-)
-metric_views("photo_", "v_photo_moments")
+FROM v_{p}shapes""",
+    )
+    moment_views(
+        f"v_{p}moments",
+        f"v_{p}crops",
+        "image_id, eye_side, eye_idx, visibility, confidence, shown_px",
+    )
+    metric_views(p, f"v_{p}moments")
+    summary_views(p, "v_photo_ids", f"v_{p}focus")
+
+
 view("v_photo_ids", "SELECT image_id FROM v_photos")
-summary_views("photo_", "v_photo_ids", "v_photo_focus")
+crop_views("photo_")
+view("v_given_eyes", X.GIVEN_EYES_SQL)
+crop_views("given_")
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +211,38 @@ def photo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_summary(scored, "image_id")
 
 
+_FILE_SUMMARY = """round({0}focus_score, 6) AS focus_score,
+  round({0}sharpness_score, 6) AS sharpness_score, round({0}clarity_score, 6) AS clarity_score,
+  {0}quality_grade, {0}failure_type, round({0}confidence, 6) AS confidence"""
+
+
+@query(
+    f"""SELECT f.image_id, f.file, s.best_eye_side, s.eye_visible_count,
+  {_FILE_SUMMARY.format("s.")}, CASE WHEN f.broken THEN 'decode_error' END AS error
+FROM v_photos f LEFT JOIN v_photo_summary s ON f.image_id = s.image_id AND NOT f.broken"""
+)
+def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files, detections and orientations by path to summaries; broken files are marked."""
+    root = X.render_photos(spark, sf_dir)
+    base = SR.plain_path(F.lit(root))
+    meta = X.photo_meta(spark, sf_dir)
+    paths = meta.select("image_id", F.concat(base, F.lit("/"), "file").alias("path"))
+    boxes = X.photo_detections(spark, sf_dir).join(paths, "image_id").drop("image_id")
+    turns = meta.join(paths, "image_id").select("path", "orientation")
+    scored = PR.score_folder(spark, root, boxes, turns, tie_break=X.DETECTION_ORDER)
+    named = scored.withColumn("file", F.replace("path", F.concat(base, F.lit("/")), F.lit("")))
+    image_id = F.regexp_extract("file", r"part_(\d+)\.", 1).cast("bigint")
+    rows = rounded_summary(named.withColumn("image_id", image_id), "image_id", "file", "error")
+    return rows.drop("model_name", "model_version")
+
+
+@query(f"SELECT image_id, best_eye_side, eye_visible_count, {_FILE_SUMMARY.format('')} FROM v_given_summary")
+def score_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eyes located elsewhere, of every visibility, on the photos."""
+    scored = SC.score_located(X.photos(spark, sf_dir), X.given_eyes(spark, sf_dir))
+    return rounded_summary(scored, "image_id").drop("model_name", "model_version")
+
+
 def _brightness_model():
     """A stand-in model: one box per image, its confidence the mean brightness."""
     import numpy as np

@@ -25,13 +25,20 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _suffix_glob() -> str:
+    """File name pattern of all image suffixes, in any case."""
+    names = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in IMAGE_SUFFIXES]
+    return "*{" + ",".join(names) + "}"
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images below ``root``: ``path, width, height, n_channels, data, decoded``.
 
     ``data`` is row-wise BGR (one channel for gray, four with alpha). A file that cannot
-    be decoded stays in the table with ``decoded = false``.
+    be decoded stays in the table with ``decoded = false``; other files are not opened.
     """
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("image").option("recursiveFileLookup", "true")
+    images = reader.option("pathGlobFilter", _suffix_glob()).load(root)
     return images.select(
         plain_path(F.col("image.origin")).alias("path"),
         F.col("image.width").alias("width"),
