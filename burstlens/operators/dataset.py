@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,24 +12,43 @@ from burstlens import constants as C
 from burstlens.functions import landmarks as L
 from burstlens.functions import names as N
 from burstlens.operators.ordering import dense_index
+from burstlens.schemas import PLACE
 
 _PREFIX_HEX = 4  # 65,536 buckets of a uniform hash
 
 
+_PLACE_BITS = 106  # a line's place needs no more, see sources.annotations.placed_lines
+
+
 def pivot_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
     """Per image one nullable ``struct<x, y, v>`` per landmark part.
 
-    Where several part ids share a name, the lowest id that the image has wins. The
-    part vocabulary is joined first; the aggregate combines before the shuffle.
+    Where several part ids share a name, the first one of ``part_order`` (else the lowest id)
+    that the image has wins; where ``locs`` has a ``place``, the last row of a part. The part
+    vocabulary is joined first. Ranks and values are numbers of fixed size, so the aggregate
+    hashes: the largest table is neither sorted nor shuffled before it is combined.
     """
-    wanted = parts.filter(F.col("part_name").isin(*C.LANDMARK_PARTS))
-    named = locs.join(wanted, "part_id")
-    point = L.mark(F.col("x"), F.col("y"), F.col("v"))
-    first = [
-        F.min_by(point, F.when(F.col("part_name") == name, F.col("part_id"))).alias(name)
-        for name in C.LANDMARK_PARTS
+    order = "part_order" if "part_order" in parts.columns else "part_id"
+    wanted = parts.filter(F.col("part_name").isin(*C.LANDMARK_PARTS)).select(
+        "part_id", "part_name", F.col(order).alias("_rank")
+    )
+    rank = F.col("_rank")
+    if "place" in locs.columns:
+        above = rank.cast("decimal(6,0)") * F.lit(Decimal(1 << _PLACE_BITS))
+        rank = (above - F.col("place")).cast(PLACE)
+    named = locs.join(wanted, "part_id").withColumn("_rank", rank)
+    point = {"x": F.col("x").cast("double"), "y": F.col("y").cast("double"), "v": F.col("v").cast("int")}
+    found = []
+    for name in C.LANDMARK_PARTS:
+        of_name = F.when(F.col("part_name") == name, F.col("_rank"))
+        found.append(F.count(of_name).alias(f"_{name}"))
+        found += [F.min_by(c, of_name).alias(f"_{name}_{n}") for n, c in point.items()]
+    flat = named.groupBy("image_id").agg(*found)
+    marks = [
+        F.when(F.col(f"_{n}") > 0, L.mark(*[F.col(f"_{n}_{c}") for c in point])).alias(n)
+        for n in C.LANDMARK_PARTS
     ]
-    return named.groupBy("image_id").agg(*first)
+    return flat.select("image_id", *marks)
 
 
 def part_columns() -> dict[str, Column]:

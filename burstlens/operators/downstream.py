@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstlens import constants as C
@@ -40,6 +40,37 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str = "image_id") -> Data
     )
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_summary_table(
+    summary: DataFrame, path: str, key: str = "image_id", buckets: int = 64
+) -> None:
+    """A summary table in folders ``bucket=...`` by hash of the key, one file each."""
+    placed = summary.withColumn("bucket", _bucket(key, buckets)).repartition("bucket")
+    placed.write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def upsert_table(new: DataFrame, path: str, key: str = "image_id", buckets: int = 64) -> None:
+    """``upsert_latest`` of ``new`` into a table of ``write_summary_table``, in place.
+
+    Only buckets that ``new`` has rows for are read and replaced; the others keep their files.
+    Buckets are replaced when the whole job is done (dynamic partition overwrite), so a job that
+    fails leaves the table as it was. ``buckets`` is that of the table; columns are the table's.
+    """
+    spark = new.sparkSession
+    table = spark.read.parquet(path)
+    columns = [c for c in table.columns if c != "bucket"]
+    fresh = new.select(*columns).withColumn("bucket", _bucket(key, buckets))
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+    old = table.filter(F.col("bucket").isin(touched)).select(*columns)
+    merged = upsert_latest(old, fresh.select(*columns), key).select(*columns)
+    placed = merged.withColumn("bucket", _bucket(key, buckets)).repartition("bucket")
+    writer = placed.write.partitionBy("bucket").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def model_scores(summary: DataFrame, key: str = "image_id") -> DataFrame:
     """Long score rows ``(image, model_name, score)``."""
     return summary.select(

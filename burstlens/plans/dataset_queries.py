@@ -14,6 +14,7 @@ from burstlens.operators import dataset as DS
 from burstlens.plans import fixtures as X
 from burstlens.plans.registry import query, view
 from burstlens.session import scratch_path
+from burstlens.sources.annotations import read_part_tables
 
 # --- reference views ------------------------------------------------------------------
 view(
@@ -228,6 +229,13 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DS.classify_images(t["images"], t["boxes"], X.annotation_files(spark, sf_dir), pivoted)
 
 
+def _classified_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from text files in which some ids stand twice."""
+    t = read_part_tables(spark, X.annotation_text(spark, sf_dir))
+    pivoted = DS.pivot_parts(t["locs"], t["parts"])
+    return DS.classify_images(t["images"], t["boxes"], X.annotation_files(spark, sf_dir), pivoted)
+
+
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).filter("outcome = 'kept'")
 
@@ -307,7 +315,7 @@ def num_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- conversion -----------------------------------------------------------------------
 @query("SELECT image_id, outcome FROM v_class")
 def convert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).select("image_id", "outcome")
+    return _classified_text(spark, sf_dir).select("image_id", "outcome")
 
 
 @query(
@@ -317,7 +325,7 @@ def convert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (WHERE outcome = 'kept') AS kept FROM v_class"""
 )
 def convert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DS.conversion_stats(_classified(spark, sf_dir))
+    return DS.conversion_stats(_classified_text(spark, sf_dir))
 
 
 @query("SELECT image_id, id FROM v_vectors")
@@ -519,3 +527,26 @@ def convert_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = X.annotation_tables(spark, sf_dir)
     made = DS.convert_parts(tables, X.annotation_files(spark, sf_dir))
     return made["labels"].select("image_id", "ann_id", "label", "split", "line")
+
+
+
+@query(
+    f"""SELECT {_LABEL.format(f="l.file_name")} AS label, s.split, l.line, CAST(1 AS BIGINT) AS n_lines
+FROM v_kept_lines l JOIN v_kept_split s ON split_part(l.file_name, '/', 1) = s.grp"""
+)
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files under the names of the manifest, written and read back."""
+    root = scratch_path(spark, "labels")
+    tables = X.annotation_tables(spark, sf_dir)
+    made = DS.convert_parts(tables, X.annotation_files(spark, sf_dir))
+    K.write_label_files(made["manifest"], made["labels"], root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    files = files.select("value", "_metadata.file_path")
+    label = F.regexp_extract("file_path", r"(labels/[^/]+/[^/]+)$", 1)
+    lines = F.split("value", "\n")
+    return files.select(
+        label.alias("label"),
+        F.split_part(label, F.lit("/"), F.lit(2)).alias("split"),
+        F.get(lines, F.lit(0)).alias("line"),
+        (F.size(lines) - 1).cast("bigint").alias("n_lines"),
+    )

@@ -7,7 +7,7 @@ Spark and the checking SQL; only integer division and half-even rounding differ.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlens.constants import KEYPOINT_NAMES
@@ -439,6 +439,43 @@ def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def _line(*columns: str) -> Column:
+    """Columns as one whitespace-separated line, with stray blanks."""
+    cells = [F.col(c).cast("string") for c in columns]
+    return F.concat(F.lit(" "), F.concat_ws("  ", *cells), F.lit(" "))
+
+
+def annotation_text(spark: SparkSession, sf_dir: str) -> str:
+    """The four annotation tables as text files below a fresh folder.
+
+    Some ids stand in a file twice: a stale line, then the one that counts.
+    """
+    from burstlens.session import scratch_path
+    from burstlens.sources.annotations import PART_FILES
+
+    root = scratch_path(spark, "parts")
+    tables = {
+        "parts": (annotation_parts(spark), "part_id", ("part_id",), ("raw_name",), "no part"),
+        "images": (
+            annotation_images(spark, sf_dir), "image_id", ("image_id",), ("file_name",), "gone.jpg",
+        ),
+        "boxes": (
+            annotation_boxes(spark, sf_dir), "image_id", ("image_id",),
+            ("box_x", "box_y", "box_w", "box_h"), "1 2 3 4",
+        ),
+        "locs": (
+            annotation_locs(spark, sf_dir), "image_id", ("image_id", "part_id"), ("x", "y", "v"),
+            "9 9 1",
+        ),
+    }
+    for name, (frame, key, ids, values, stale) in tables.items():
+        line = _line(*ids, *values)
+        before = F.concat(_line(*ids), F.lit(f" {stale}\n\n"), line)
+        text = F.when(F.col(key) % 11 == 3, before).otherwise(line)
+        frame.select(text.alias("value")).write.text(f"{root}/{PART_FILES[name]}")
+    return root
+
+
 view("v_note_rows", _select(_NOTES_IMAGE, "orders"))
 view("v_note_images", "SELECT image_id, file_name FROM v_note_rows")
 view("v_note_files", f"SELECT file_name, width, height FROM v_note_rows WHERE {_FILE_EXISTS}")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlens.constants import NOISE_SIGMA
 from burstlens.functions import scores as S
-from burstlens.functions.pixels import gaussian_taps
 from burstlens.operators import batch as B
 from burstlens.operators import crops as CR
 from burstlens.operators import downstream as DS
@@ -15,6 +13,11 @@ from burstlens.operators import scoring as SC
 from burstlens.plans import fixtures as X
 from burstlens.plans.localization_queries import located
 from burstlens.plans.registry import query, view
+from burstlens.session import scratch_path
+
+
+# The blur of sigma 1.2: nine weights of 256, rounded, the middle one taking up the rest.
+TAPS = (0, 4, 21, 60, 86, 60, 21, 4, 0)
 
 
 # --- reference SQL of the pixel measures --------------------------------------------
@@ -35,7 +38,7 @@ def moment_views(name: str, source: str, keep: str) -> None:
     lap = f"{_at(0, -1)} + {_at(0, 1)} + {_at(-1, 0)} + {_at(1, 0)} - 4 * g[i + 1]"
     gx = f"({_at(1, -1)} - {_at(-1, -1)} + 2 * ({_at(1, 0)} - {_at(-1, 0)}) + {_at(1, 1)} - {_at(-1, 1)})"
     gy = f"({_at(-1, 1)} - {_at(-1, -1)} + 2 * ({_at(0, 1)} - {_at(0, -1)}) + {_at(1, 1)} - {_at(1, -1)})"
-    taps = [(k - 4, int(t)) for k, t in enumerate(gaussian_taps(NOISE_SIGMA)) if t]
+    taps = [(k - 4, t) for k, t in enumerate(TAPS)]
     across = " + ".join(f"{t} * g[i // w * w + {_fold(f'i % w + {k}', 'w')} + 1]" for k, t in taps)
     down = " + ".join(f"{t} * b[{_fold(f'i // w + {k}', 'h')} * w + i % w + 1]" for k, t in taps)
     view(
@@ -469,6 +472,34 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("image_id", F.array_join("violations", ",").alias("broken"))
 
 
+@query(
+    """SELECT image_id, concat_ws(',', CASE WHEN bool_or(eye_idx = 1 AND image_id % 3 = 0)
+    THEN 'bbox_norm' END,
+  CASE WHEN bool_or(visibility = 'occluded') THEN 'visibility' END,
+  CASE WHEN bool_or(image_id % 7 = 0) THEN 'eye_side' END,
+  CASE WHEN bool_or(confidence * 1.3 > 1.0) THEN 'detection_confidence' END) AS broken
+FROM v_eyes GROUP BY image_id HAVING bool_or(eye_idx = 1 AND image_id % 3 = 0)
+  OR bool_or(visibility = 'occluded') OR bool_or(image_id % 7 = 0) OR bool_or(confidence * 1.3 > 1.0)"""
+)
+def contract_eye_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose eyes break the contract, after distorting four of their fields."""
+    image = F.col("image_id")
+
+    def warp(e):
+        short = (e["eye_idx"] == 1) & (image % 3 == 0)
+        box = F.when(short, F.slice(e["bbox_norm"], 1, 3)).otherwise(e["bbox_norm"])
+        seen = F.when(e["visibility"] == "occluded", "covered").otherwise(e["visibility"])
+        side = F.when(image % 7 == 0, F.upper(e["eye_side"])).otherwise(e["eye_side"])
+        warped = {"bbox_norm": box, "visibility": seen, "eye_side": side}
+        for name, value in warped.items():
+            e = e.withField(name, value)
+        return e.withField("detection_confidence", e["detection_confidence"] * 1.3)
+
+    scored = scored_images(spark, sf_dir).withColumn("scored", F.transform("scored", warp))
+    _, bad = SC.validate(scored)
+    return bad.select("image_id", F.array_join("violations", ",").alias("broken"))
+
+
 # --- downstream tables --------------------------------------------------------------------
 @query("SELECT image_id FROM v_beside WHERE keyword IN ('wildlife', 'birds', 'animals')")
 def keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,7 +514,7 @@ def keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM v_summary s JOIN v_beside b ON s.image_id = b.image_id"""
 )
 def upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new run over all images onto a table that holds the older half of them."""
+    """A new run over all images onto a stored table that holds the older half of them."""
     old = X.beside(spark, sf_dir, "image_id", "base", "ordered").filter("ordered < '1998-06-01'")
     old = old.select(
         "image_id",
@@ -494,8 +525,10 @@ def upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_at = F.lit("2002-01-01").cast(old.schema["updated_at"].dataType)
     new = scored_images(spark, sf_dir).select("image_id", "focus_score")
     new = new.withColumns({"created_at": run_at, "updated_at": run_at})
-    merged = DS.upsert_latest(old, new)
-    return merged.select(
+    path = scratch_path(spark, "summary")
+    DS.write_summary_table(old, path, buckets=16)
+    DS.upsert_table(new, path, buckets=16)
+    return spark.read.parquet(path).select(
         "image_id", F.round("focus_score", 6).alias("focus_score"), "created_at", "updated_at"
     )
 

@@ -9,7 +9,7 @@ from burstlens import sources as R
 from burstlens.plans import fixtures as X
 from burstlens.plans.registry import query
 from burstlens.session import scratch_path
-from burstlens.sources.annotations import PART_FILES
+from burstlens.sources.annotations import last_rows
 from burstlens.sources.images import plain_path
 
 
@@ -70,12 +70,6 @@ def load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(_photo_id(F.col("path")).alias("image_id"), broken.alias("load_error"))
 
 
-def _words(*columns: str) -> F.Column:
-    """Columns as one whitespace-separated line, with stray blanks."""
-    cells = [F.col(c).cast("string") for c in columns]
-    return F.concat(F.lit(" "), F.concat_ws("  ", *cells), F.lit(" ")).alias("value")
-
-
 @query(
     """SELECT 'parts' AS kind, part_id AS id, CAST(NULL AS BIGINT) AS pid,
   replace(raw_name, ' ', '_') AS name, CAST(NULL AS DOUBLE) AS n1, CAST(NULL AS DOUBLE) AS n2,
@@ -85,21 +79,9 @@ UNION ALL SELECT 'boxes', image_id, NULL, NULL, box_x, box_y, box_w, box_h FROM
 UNION ALL SELECT 'locs', image_id, part_id, NULL, x, y, CAST(v AS DOUBLE), NULL FROM v_note_locs"""
 )
 def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four whitespace text tables, as one long table."""
-    root = scratch_path(spark, "parts")
-    lines = {
-        "parts": X.annotation_parts(spark).select(_words("part_id", "raw_name")),
-        "images": X.annotation_images(spark, sf_dir).select(_words("image_id", "file_name")),
-        "boxes": X.annotation_boxes(spark, sf_dir).select(
-            _words("image_id", "box_x", "box_y", "box_w", "box_h")
-        ),
-        "locs": X.annotation_locs(spark, sf_dir).select(
-            _words("image_id", "part_id", "x", "y", "v")
-        ),
-    }
-    for name, frame in lines.items():
-        frame.write.text(f"{root}/{PART_FILES[name]}")
-    t = R.read_part_tables(spark, root)
+    """The four whitespace text tables, some lines of which are outdated, as one long table."""
+    t = R.read_part_tables(spark, X.annotation_text(spark, sf_dir))
+    t["locs"] = last_rows(t["locs"], "image_id", "part_id")
     none, nan = F.lit(None).cast("bigint"), F.lit(None).cast("double")
     no_name = F.lit(None).cast("string")
 

@@ -10,6 +10,9 @@ MANIFEST = T.StructType(
     [T.StructField("path", T.StringType()), T.StructField("image_path", T.StringType())]
 )
 
+# Where a line of a text source stands; see ``sources.annotations.placed_lines``.
+PLACE = "decimal(38,0)"
+
 KEYPOINT = T.StructType(
     [
         T.StructField("x", T.DoubleType()),

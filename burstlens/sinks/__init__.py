@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from burstlens.operators.batch import batch_records
 from burstlens.operators.scoring import EYE_FIELDS, SUMMARY_COLUMNS, result_json
+from burstlens.sinks.files import write_crop_files, write_keyed_files, write_label_files
 
 __all__ = [
     "write_batch",
     "write_bucketed_images",
     "write_coco_tables",
     "write_coverage",
+    "write_crop_files",
     "write_crops",
     "write_dataset_manifest",
+    "write_keyed_files",
+    "write_label_files",
     "write_labels",
     "write_per_eye",
     "write_results",

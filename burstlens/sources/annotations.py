@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstlens.functions.names import normalize_name, strip
-from burstlens.schemas import COCO_ANNOTATION, COCO_DOCUMENT, COCO_IMAGE
+from burstlens.schemas import COCO_ANNOTATION, COCO_DOCUMENT, COCO_IMAGE, PLACE
+from burstlens.sources.images import plain_path, plain_path_text
 
 # File names of the four annotation tables below their root.
 PART_FILES = {
@@ -17,53 +20,102 @@ PART_FILES = {
 }
 
 
-def _fields(lines: DataFrame, n: int) -> tuple[DataFrame, list[Column]]:
-    """Non-blank lines split at whitespace into at most ``n`` fields."""
+_ROW_BITS, _BLOCK_BITS = 33, 53  # of a line's number in its block, and of a block's start
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with their ``place``: a number that grows along a file and over files by name.
+
+    It is made of file, block start and line number in the block, so no line waits for another.
+    The table of files that this looks up is the list of files that Spark makes to read them.
+    """
+    lines = spark.read.text(path)
+    files = [(plain_path_text(f),) for f in lines.inputFiles()]
+    named = [(name, i) for i, (name,) in enumerate(sorted(files))]
+    order = spark.createDataFrame(named, "_file string, _nth bigint")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    spots = lines.select(
+        "value",
+        plain_path(F.col("_metadata.file_path")).alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        row.alias("_row"),
+    )
+    wide = lambda c, bits: c.cast("decimal(12,0)") * F.lit(Decimal(1 << bits))
+    start = F.col("_start").cast("decimal(16,0)") * F.lit(Decimal(1 << _ROW_BITS))
+    place = wide(F.col("_nth"), _ROW_BITS + _BLOCK_BITS) + start + F.col("_row")
+    joined = spots.join(F.broadcast(order), "_file")
+    return joined.select("value", place.cast(PLACE).alias("place"))
+
+
+def last_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """The last row of each key by ``place``, which the result lacks.
+
+    Each value is kept by its place in an aggregate that combines before the shuffle, so a key
+    with very many rows sends one row from each task.
+    """
+    values = [c for c in rows.columns if c not in (*keys, "place")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "place").alias(c) for c in values])
+
+
+def _fields(lines: DataFrame, n: int) -> tuple[DataFrame, list[Column], list[str]]:
+    """Non-blank lines split at whitespace into at most ``n`` fields, and the columns to keep."""
     text = strip(F.col("value"))
-    kept = lines.filter(text != "").select(F.split(text, r"\s+", n).alias("f"))
-    return kept, [F.col("f")[i] for i in range(n)]
+    others = [c for c in lines.columns if c != "value"]
+    kept = lines.filter(text != "").select(F.split(text, r"\s+", n).alias("f"), *others)
+    return kept, [F.col("f")[i] for i in range(n)], others
 
 
 def parse_parts(lines: DataFrame) -> DataFrame:
-    rows, (pid, name) = _fields(lines, 2)
-    return rows.select(pid.cast("bigint").alias("part_id"), normalize_name(name).alias("part_name"))
+    rows, (pid, name), others = _fields(lines, 2)
+    return rows.select(pid.cast("bigint").alias("part_id"), normalize_name(name).alias("part_name"), *others)
 
 
 def parse_images(lines: DataFrame) -> DataFrame:
-    rows, (iid, name) = _fields(lines, 2)
-    return rows.select(iid.cast("bigint").alias("image_id"), strip(name).alias("file_name"))
+    rows, (iid, name), others = _fields(lines, 2)
+    return rows.select(iid.cast("bigint").alias("image_id"), strip(name).alias("file_name"), *others)
 
 
 def parse_boxes(lines: DataFrame) -> DataFrame:
-    rows, (iid, *xywh) = _fields(lines, 5)
+    rows, (iid, *xywh), others = _fields(lines, 5)
     return rows.select(
         iid.cast("bigint").alias("image_id"),
         *[c.cast("double").alias(n) for n, c in zip(("box_x", "box_y", "box_w", "box_h"), xywh, strict=True)],
+        *others,
     )
 
 
 def parse_part_locs(lines: DataFrame) -> DataFrame:
-    rows, (iid, pid, x, y, v) = _fields(lines, 5)
+    rows, (iid, pid, x, y, v), others = _fields(lines, 5)
     return rows.select(
         iid.cast("bigint").alias("image_id"),
         pid.cast("bigint").alias("part_id"),
         x.cast("double").alias("x"),
         y.cast("double").alias("y"),
         v.cast("int").alias("v"),
+        *others,
     )
 
 
 def read_part_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The ``parts``, ``images``, ``boxes`` and ``locs`` tables below ``root``."""
-    parsers = {
-        "parts": parse_parts,
-        "images": parse_images,
-        "boxes": parse_boxes,
-        "locs": parse_part_locs,
-    }
+    """The ``parts``, ``images``, ``boxes`` and ``locs`` tables below ``root``.
+
+    Where a file names an id again, its last line counts; ``parts`` has ``part_order``, the rank
+    of an id's first line. ``locs`` keeps all its lines with their ``place``: ``pivot_parts``
+    takes the last line of a part itself, so the largest table is shuffled once.
+    ``last_rows(locs, "image_id", "part_id")`` gives the table without repeated rows.
+    """
+    lines = {n: placed_lines(spark, f"{root.rstrip('/')}/{f}") for n, f in PART_FILES.items()}
+    parts = parse_parts(lines["parts"])
+    # The vocabulary of parts; a rank over it is a task of a few rows.
+    rank = F.row_number().over(Window.orderBy("first")).cast("bigint")
+    ordered = parts.groupBy("part_id").agg(
+        F.max_by("part_name", "place").alias("part_name"), F.min("place").alias("first")
+    )
     return {
-        name: parse(spark.read.text(f"{root.rstrip('/')}/{PART_FILES[name]}"))
-        for name, parse in parsers.items()
+        "parts": ordered.select("part_id", "part_name", rank.alias("part_order")),
+        "images": last_rows(parse_images(lines["images"]), "image_id"),
+        "boxes": last_rows(parse_boxes(lines["boxes"]), "image_id"),
+        "locs": parse_part_locs(lines["locs"]),
     }
 
 

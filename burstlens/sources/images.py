@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^file:/+", "/")
 
 
+def plain_path_text(uri: str) -> str:
+    """The same of one URI."""
+    return re.sub(r"^file:/+", "/", uri)
+
+
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Image files below ``root`` (``path``, ``length``), known by suffix.
 

@@ -3,12 +3,16 @@
 import random
 from pathlib import PurePosixPath
 
+import pytest
 from pyspark.sql import functions as F
 
+from burstlens import sinks as K
 from burstlens.functions import names as N
 from burstlens.functions.numbers import exact_round
 from burstlens.operators import dataset as DS
+from burstlens.operators.downstream import upsert_table, write_summary_table
 from burstlens.operators.ordering import dense_index, group_rank
+from burstlens.sources.annotations import last_rows, read_part_tables
 
 
 def test_paths(spark):
@@ -155,3 +159,118 @@ def test_csv_collisions_and_bad_boxes(spark):
     lines = {r.image_path: r.line for r in labels.collect()}
     assert lines["b/y.jpg"] is None
     assert lines["b/x.jpg"].startswith("0 0.050000 0.100000 0.060000 0.100000 0.000000")
+
+
+def test_last_line_of_an_id_counts(spark, tmp_path):
+    """Ids that stand again, over blocks and files; the order of part ids is that of their first line."""
+    files = {
+        "images.txt": ["1 a/x.jpg", "2 b.jpg", "", "1 c/y z.jpg"],
+        "bounding_boxes.txt": ["1 0 0 1 1", "1 10 20 60 50", "2 1 2 3 4", "2 5 6 7 8", "2 9 9 9 9"],
+        "parts/parts.txt": ["7 Crown", "2 tail", "5 beak", "2 Crown"],
+    }
+    (tmp_path / "parts/part_locs.txt").mkdir(parents=True)
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    # A folder of two files, many blocks each: the last line of the second one counts.
+    body = [f"1 {p} {n}.0 {p}.5 1" for n in range(400) for p in (7, 2, 5)]
+    (tmp_path / "parts/part_locs.txt/part-0").write_text("\n".join(body) + "\n")
+    (tmp_path / "parts/part_locs.txt/part-1").write_text("\n".join([*body[::-1], "2 2 4.0 4.0 1"]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        t = read_part_tables(spark, str(tmp_path))
+        assert sorted(t["images"].collect()) == [(1, "c/y z.jpg"), (2, "b.jpg")]
+        assert sorted(t["boxes"].collect()) == [(1, 10.0, 20.0, 60.0, 50.0), (2, 9.0, 9.0, 9.0, 9.0)]
+        assert sorted(t["parts"].collect()) == [(2, "crown", 2), (5, "beak", 3), (7, "crown", 1)]
+        assert t["locs"].rdd.getNumPartitions() > 4
+        last = sorted(last_rows(t["locs"], "image_id", "part_id").select("image_id", "part_id", "x").collect())
+        assert last == [(1, 2, 0.0), (1, 5, 0.0), (1, 7, 0.0), (2, 2, 4.0)]
+        out = {r.image_id: r for r in DS.pivot_parts(t["locs"], t["parts"]).collect()}
+        assert (out[1].crown.x, out[1].crown.y, out[1].beak.y) == (0.0, 7.5, 5.5)
+        assert out[2].crown.y == 4.0 and out[2].beak is None
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pivot_hashes(spark, tmp_path):
+    """The largest table is combined by hash before its one shuffle."""
+    kinds = "image_id bigint, part_id bigint, x double, y double, v int, place decimal(38,0)"
+    spark.range(100).selectExpr(
+        "id AS image_id", "id % 3 AS part_id", "1D AS x", "2D AS y", "1 AS v",
+        "CAST(id AS decimal(38,0)) AS place",
+    ).write.parquet(str(tmp_path / "locs"))
+    locs = spark.read.schema(kinds).parquet(str(tmp_path / "locs"))
+    parts = spark.createDataFrame([(0, "crown"), (1, "beak")], "part_id bigint, part_name string")
+    text = DS.pivot_parts(locs, parts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("HashAggregate") == 2
+
+
+def test_label_files(spark, tmp_path):
+    """One file per label, lines in order; writing again gives the same files, others stay."""
+    manifest = spark.createDataFrame(
+        [("labels/train/a.txt",), ("labels/val/b.txt",), ("labels/val/b.txt",)], "label string"
+    )
+    rows = [("labels/train/a.txt", f"line {n}", n) for n in range(300)]
+    labels = spark.createDataFrame([*rows[::-1], ("labels/val/b.txt", None, 1)], "label string, line string, ann_id int")
+    (tmp_path / "other.txt").write_text("stays")
+    for _ in range(2):
+        K.write_label_files(manifest, labels, str(tmp_path))
+        assert (tmp_path / "labels/train/a.txt").read_text() == "".join(f"line {n}\n" for n in range(300))
+        assert (tmp_path / "labels/val/b.txt").read_text() == ""
+        names = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file())
+        assert names == ["_SUCCESS", "labels/train/a.txt", "labels/val/b.txt", "other.txt"]
+
+
+def test_a_lost_task_leaves_no_part_of_a_file(spark, tmp_path):
+    """A task that fails in the middle has moved nothing; a second attempt moves whole files."""
+    from burstlens.sinks.files import KeyedFilesWriter
+
+    def rows(fail):
+        for n in range(4):
+            if fail and n == 3:
+                raise OSError("lost")
+            yield (f"d/{n // 2}.txt", f"{n}")
+
+    def attempt(fail):
+        return lambda _: [KeyedFilesWriter({"path": root}).write(rows(fail)).n_files]
+
+    root = str(tmp_path / "out")
+    one = spark.sparkContext.parallelize([0], 1)
+    with pytest.raises(Exception, match="lost"):
+        one.mapPartitions(attempt(True)).collect()
+    assert not (tmp_path / "out/d").exists()
+    assert one.mapPartitions(attempt(False)).collect() == [2]
+    assert (tmp_path / "out/d/1.txt").read_text() == "2\n3"
+
+
+def test_crop_files(spark, tmp_path):
+    rows = [("dbg/a_left_eye.jpg", 2, 1, bytearray(b"\x01\xff")), ("dbg/b.jpg", 0, 0, bytearray(b"\x00"))]
+    kinds = "crop_path string, crop_width_px int, crop_height_px int, gray binary"
+    K.write_crop_files(spark.createDataFrame(rows, kinds), str(tmp_path))
+    assert (tmp_path / "dbg/a_left_eye.pgm").read_bytes() == b"P5\n2 1\n255\n\x01\xff"
+    assert not (tmp_path / "dbg/b.pgm").exists()
+
+
+def test_upsert_replaces_touched_buckets_only(spark, tmp_path):
+    def rows(ids, score, at):
+        return spark.range(*ids).selectExpr(
+            "id AS image_id", f"{score}D AS focus_score", f"TIMESTAMP '{at}' AS created_at",
+            f"TIMESTAMP '{at}' AS updated_at",
+        )
+
+    path = tmp_path / "table"
+    write_summary_table(rows((0, 200), 0.1, "2020-01-01"), str(path), buckets=8)
+    listed = lambda: {p.parent.name: p.name for p in path.rglob("*.parquet")}
+    before = listed()
+    assert len(before) == 8
+    upsert_table(rows((5, 6), 0.9, "2021-01-01"), str(path), buckets=8)
+    after = listed()
+    assert sum(before[b] != after[b] for b in before) == 1 and before.keys() == after.keys()
+    table = spark.read.parquet(str(path))
+    assert table.count() == 200
+    row = table.filter("image_id = 5").first()
+    assert (row.focus_score, row.created_at.year, row.updated_at.year) == (0.9, 2020, 2021)
+    upsert_table(rows((5, 6), 0.2, "2019-01-01"), str(path), buckets=8)  # an older run changes nothing
+    assert spark.read.parquet(str(path)).filter("image_id = 5").first().focus_score == 0.9
+    upsert_table(rows((0, 0), 0.2, "2030-01-01"), str(path), buckets=8)
+    assert spark.read.parquet(str(path)).count() == 200
