@@ -25,7 +25,7 @@ from burstlens.llm.token_memo import vocabulary_path
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-PASS_BYTES = 4_000_000
+PASS_BYTES = 1_500_000
 ID_BITS = 32  # a pair is A's id times 2**32 plus B's
 # Pairs that are sent to every task: 4 million take about 100 MB. More are joined by shuffle.
 BROADCAST_PAIRS = 4_000_000

@@ -8,9 +8,11 @@ once in a worker, and ids are put together by look-up. The result is that of the
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,15 @@ def vocabulary_path(name: str) -> str:
 
 
 class Memo:
-    """Ids of stretches seen so far; forgotten as a whole beyond KEEP of them or KEEP_CHARS.
+    """Ids of stretches that came twice; forgotten as a whole beyond KEEP of them or KEEP_CHARS.
 
-    A stretch is kept less the space in front; one without such a space has HEAD in front.
+    A stretch is kept less the space in front; one without such a space has HEAD in front. One
+    that comes for the first time only leaves a mark under its hash, so words that never come
+    again take no memory; a shared mark only means that a word is kept early.
     ``encode_all`` gives the ids of whole texts, ``widths`` how many bytes of text an id spells.
     """
 
-    KEEP, KEEP_CHARS = 1_000_000, 16_000_000
+    KEEP, KEEP_CHARS, MARKS = 700_000, 9_000_000, 1 << 22
 
     def __init__(self, encode_all: Encode, widths: np.ndarray):
         self.encode_all, self.widths = encode_all, widths
@@ -51,6 +55,7 @@ class Memo:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.seen = bytearray(self.MARKS)
         self.chars = 0
         self.flat, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
 
@@ -75,44 +80,60 @@ class Memo:
         if lead:
             parts_of[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 0
         ends = np.cumsum(parts_of)
-        at = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
+        at = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         head = np.zeros(len(at), bool)
         head[(ends - parts_of)[parts_of > 0]] = True
         of_even = np.repeat(even, parts_of)
         flat = parts.flatten()
         if lead:
             flat = flat.filter(pc.not_equal(flat, ""))  # what an empty text is split into
-            inner = of_even
+            inner, first = of_even, []
         else:
-            heads = head[of_even]
-            first = flat.filter(pa.array(heads)).to_pylist()
-            at[of_even & head] = self.look_up([HEAD + t for t in first])
-            flat, inner = flat.filter(pa.array(~heads)), of_even & ~head
+            heads = pa.array(head[of_even])
+            first = [HEAD + t for t in flat.filter(heads).to_pylist()]
+            flat, inner = flat.filter(pc.invert(heads)), of_even & ~head
         coded = flat.dictionary_encode()
-        places = self.look_up(coded.dictionary.to_pylist())
-        at[inner] = places[coded.indices.to_numpy()]
-        if odd:
-            at[~of_even] = self.look_up(
-                [HEAD * (not i) + p for cut in odd for i, p in enumerate(cut)]
-            )
-        begin = self.first[at]
-        size = self.first[at + 1] - begin
+        keys = coded.dictionary.to_pylist()
+        at[inner] = coded.indices.to_numpy()
+        at[of_even & ~inner] = len(keys) + np.arange(len(first))
+        keys += first
+        rest = [HEAD * (not i) + p for cut in odd for i, p in enumerate(cut)]
+        at[~of_even] = len(keys) + np.arange(len(rest))
+        keys += rest
+        place, ids, begins = self.look_up(keys, np.bincount(at, minlength=len(keys)))
+        at = place[at]
+        begin = begins[at]
+        size = begins[at + 1] - begin
         stop = np.cumsum(size)
-        out = self.flat[np.repeat(begin - stop + size, size) + np.arange(int(size.sum()))]
+        out = ids[np.repeat(begin - stop + size, size) + np.arange(int(size.sum()))]
         return out, np.diff(np.concatenate([[0], stop])[ends], prepend=0)
 
-    def look_up(self, keys: list[str]) -> np.ndarray:
-        """Places of stretches in the memo; new ones are encoded."""
-        known, before = self.known, len(self.known)
-        at = np.array([known.setdefault(k, len(known)) for k in keys], np.int64)
-        new = [k for k, i in zip(keys, at.tolist(), strict=True) if i >= before]
-        if new:
-            new = list(dict.fromkeys(new))
-            self.chars += sum(map(len, new))
-            ids, sizes = self.encode_stretches(new)
-            self.flat = np.concatenate([self.flat, ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        return at
+    def look_up(
+        self, keys: list[str], times: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of stretches that come ``times`` in a pass, and the ids behind the places."""
+        known, seen, marks = self.known, self.seen, self.MARKS
+        place = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place, self.flat, self.first
+        hashes = [hash(keys[i]) % marks for i in new.tolist()]
+        again = np.fromiter((seen[h] for h in hashes), bool, len(new)) | (times[new] > 1)
+        for h in hashes:
+            seen[h] = 1
+        new = np.concatenate([new[again], new[~again]])  # those to be kept come first
+        kept = int(again.sum())
+        fresh = [keys[i] for i in new.tolist()]
+        found, sizes = self.encode_stretches(fresh)
+        place[new] = len(self.first) - 1 + np.arange(len(new))
+        ids = np.concatenate([self.flat, found])
+        first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        for k, i in zip(fresh[:kept], place[new[:kept]].tolist(), strict=True):
+            known[k] = i
+            self.chars += len(k)
+        self.first = first[: len(self.first) + kept].copy()
+        self.flat = ids[: self.first[-1]].copy()
+        return place, ids, first
 
     def encode_stretches(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new stretches end to end, and how many each has.
@@ -153,8 +174,9 @@ class Memo:
         return ids, np.diff(last, prepend=-1)
 
 
+@functools.cache
 def byte_level(name: str, plain_specials: bool = False) -> Memo:
-    """A memo over a byte-level vocabulary of the tokenizers library.
+    """A worker's memo over a byte-level vocabulary of the tokenizers library.
 
     With ``plain_specials`` the strings of special tokens are plain text.
     """
@@ -172,8 +194,9 @@ def byte_level(name: str, plain_specials: bool = False) -> Memo:
     )
 
 
+@functools.cache
 def piece_level(name: str) -> Memo:
-    """A memo over a sentencepiece vocabulary that puts a space in front of a text.
+    """A worker's memo over a sentencepiece vocabulary that puts a space in front of a text.
 
     Every text here begins with a space, and the library adds just that one.
     """
