@@ -23,12 +23,16 @@ def strip(text: Column) -> Column:
 
 
 def posix_path(path: Column) -> Column:
-    """Path text without doubled slashes, ``.`` steps and trailing slashes."""
+    """Path text without doubled slashes, ``.`` steps and trailing slashes.
+
+    Most paths are plain, which one search tells; only others are rewritten.
+    """
+    odd = path.rlike(r"//|/\.(?:/|$)|^\./|/$|^$")
     text = F.regexp_replace(path, r"/(\./)+|/{2,}", "/")
     text = F.regexp_replace(text, r"/{2,}", "/")
     text = F.regexp_replace(text, r"^\./|/\.$", "")
     text = F.regexp_replace(text, r"(?<=.)/$", "")
-    return F.when(text == "", F.lit(".")).otherwise(text)
+    return F.when(~odd, path).when(text == "", F.lit(".")).otherwise(text)
 
 
 def base_name(path: Column) -> Column:
@@ -45,13 +49,20 @@ def suffix(path: Column) -> Column:
 
 
 def group_key(path: Column) -> Column:
-    """Parent directory; ``.`` for bare names."""
-    text = posix_path(path)
-    return (
-        F.when(~text.contains("/"), F.lit("."))
-        .when(text.rlike(r"^/[^/]*$"), F.lit("/"))
-        .otherwise(F.regexp_extract(text, r"^(.*)/[^/]*$", 1))
-    )
+    """Parent directory; ``.`` for bare names.
+
+    The plain path is bound once, as the variable of a one-element array.
+    """
+
+    def parent(text: Column) -> Column:
+        folder = F.regexp_extract(text, r"^(.*)/[^/]*$", 1)
+        return (
+            F.when(~text.contains("/"), F.lit("."))
+            .when(folder == "", F.lit("/"))
+            .otherwise(folder)
+        )
+
+    return F.get(F.transform(F.array(posix_path(path)), parent), F.lit(0))
 
 
 def safe_name(path: Column) -> Column:

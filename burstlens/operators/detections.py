@@ -51,6 +51,24 @@ def all_detections(df: DataFrame, min_confidence: float) -> DataFrame:
     return df.filter(F.col("bbox_confidence") >= min_confidence)
 
 
+def ranked_subjects(
+    df: DataFrame,
+    min_confidence: float,
+    most: int | None = None,
+    key: str = "image_id",
+    tie_break: Sequence[str] = ("det_idx",),
+) -> DataFrame:
+    """``all_detections`` with ``subject_rank`` in their image, most confident first.
+
+    With ``most`` only so many per image are kept; that filter is a group limit, which runs
+    before the shuffle too.
+    """
+    order = [F.col("bbox_confidence").desc(), *[F.col(c).asc() for c in tie_break]]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    ranked = all_detections(df, min_confidence).withColumn("subject_rank", rank)
+    return ranked if most is None else ranked.filter(F.col("subject_rank") <= most)
+
+
 def best_of_array(detections: Column, width: Column, height: Column, gates: Gates = DEFAULT_GATES):
     """Best gated entry of a nested ``array<struct>`` of detections; needs no shuffle."""
 
@@ -82,6 +100,15 @@ def flatten_best(
     return with_area(picked.select(*others, "best.*"))
 
 
+def subject_columns() -> list[Column]:
+    """The best detection's normalised box and its confidence, as the result document has them."""
+    box = [F.col(c) for c in ("x1", "y1", "x2", "y2", "image_width", "image_height")]
+    return [
+        G.subject_bbox_norm(*box).alias("subject_bbox_norm"),
+        F.col("bbox_confidence").alias("subject_confidence"),
+    ]
+
+
 def subject_boxes(best: DataFrame) -> DataFrame:
     """Adds ``subject_bbox_norm`` of the best detection."""
     box = [F.col(c) for c in ("x1", "y1", "x2", "y2", "image_width", "image_height")]

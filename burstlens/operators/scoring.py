@@ -13,7 +13,12 @@ from burstlens.functions import geometry as G
 from burstlens.functions import scores as S
 from burstlens.functions.names import crop_path
 from burstlens.operators.crops import eye_windows, join_located, measure_eyes, with_shown_dims
-from burstlens.operators.detections import best_detection, flatten_best, gate_detections
+from burstlens.operators.detections import (
+    best_detection,
+    flatten_best,
+    gate_detections,
+    subject_columns,
+)
 from burstlens.operators.localize import localization_notes, localize, notes
 from burstlens.schemas import EYE_DETECTION, MOMENTS, RESULT
 
@@ -246,7 +251,8 @@ def score_images(
     to one row per image and task beforehand; everything after is local to a row.
     """
     located = localize(best_detection(gate_detections(detections, gates), key, tie_break), gates)
-    noted = localization_notes(images, located.select(key, "eyes", "pose_keypoints"), key)
+    narrow = located.select(key, "eyes", "pose_keypoints", *subject_columns())
+    noted = localization_notes(images, narrow, key)
     return summarize(score_eyes(noted, moments, key, crop_base, path))
 
 
@@ -269,7 +275,7 @@ def score_photos(
     best = best_detection(gate_detections(detections, gates), key, tie_break)
     located = localize(with_shown_dims(best, photos, key), gates)
     narrow = eye_windows(located, F.col("image_width"), F.col("image_height")).select(
-        key, "eyes", "windows", "pose_keypoints", F.lit(True).alias("_found")
+        key, "eyes", "windows", "pose_keypoints", *subject_columns(), F.lit(True).alias("_found")
     )
     wide = _measured_wide(join_located(photos, narrow, key, "left"))
     noted = wide.withColumn("notes", notes(F.col("_found"), F.col("eyes"))).drop("_found")
@@ -335,7 +341,9 @@ def score_files(
         joined = joined.withColumn("orientation", F.lit(1))
     located = localize(_in_shown_dims(joined), gates)
     found = F.coalesce(F.col("_found"), F.lit(False)) & usable
-    eyes = {n: F.when(found, F.col(n)) for n in ("eyes", "pose_keypoints")}
+    located = located.select("*", *subject_columns())
+    kept = ("eyes", "pose_keypoints", *SUBJECT_COLUMNS)
+    eyes = {n: F.when(found, F.col(n)) for n in kept}
     windows = eye_windows(
         located.withColumns(eyes), F.col("image_width"), F.col("image_height")
     ).drop(*_BEST_COLUMNS, "det_idx", "head_width_px", "turned_away", "detections")
@@ -414,6 +422,9 @@ def score_located(
     return summarize(_score_wide(wide, source, crop_base))
 
 
+SUBJECT_COLUMNS = ("subject_bbox_norm", "subject_confidence")
+
+
 def detections_array(scored: Column) -> Column:
     """All eyes of an image, visible or not, in the shape of the document."""
     return F.transform(
@@ -427,7 +438,13 @@ def crop_paths(scored: Column) -> Column:
 
 
 def to_result(scored: DataFrame, *keys: str) -> DataFrame:
-    """The nested result document: summary, detections, debug."""
+    """The nested result document: summary, detections, debug, and the subject's box.
+
+    Rows without the subject columns (eyes located elsewhere, skipped images) have nulls there.
+    """
+    subject = [
+        (F.col(n) if n in scored.columns else F.lit(None)).alias(n) for n in SUBJECT_COLUMNS
+    ]
     eyes = F.coalesce(F.col("scored"), F.array().cast(_scored_type()))
     rows = F.coalesce(F.col("pose_keypoints"), F.array().cast("array<array<double>>"))
     document = F.struct(
@@ -438,6 +455,7 @@ def to_result(scored: DataFrame, *keys: str) -> DataFrame:
             rows.alias("pose_keypoints"),
             F.col("notes").alias("notes"),
         ).alias("debug"),
+        *subject,
     )
     return scored.select(*keys, document.cast(RESULT).alias("result"))
 

@@ -152,12 +152,13 @@ def best_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT image_id, det_idx, pk, sk, p, bbox_confidence FROM v_detections
-WHERE bbox_confidence >= 0.5"""
+    """SELECT image_id, det_idx, pk, sk, p, bbox_confidence, CAST(row_number() OVER (PARTITION BY
+  image_id ORDER BY bbox_confidence DESC, det_idx, pk, sk, p) AS INTEGER) AS subject_rank
+FROM v_detections WHERE bbox_confidence >= 0.5"""
 )
 def multi_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = D.all_detections(X.detections(spark, sf_dir), 0.5)
-    return found.select(*_BOX_COLUMNS, "bbox_confidence")
+    found = D.ranked_subjects(X.detections(spark, sf_dir), 0.5, tie_break=X.DETECTION_ORDER)
+    return found.select(*_BOX_COLUMNS, "bbox_confidence", "subject_rank")
 
 
 @query(

@@ -394,8 +394,11 @@ def detections_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT s.image_id, s.best_eye_side, s.quality_grade, s.failure_type, n.note,
   CAST((SELECT count(*) FROM v_eyes e WHERE e.image_id = s.image_id) AS INTEGER) AS n_eyes,
-  CASE WHEN n.note = 'no_pose_detection' THEN 0 ELSE 6 END AS n_rows
-FROM v_summary s JOIN v_notes n ON s.image_id = n.image_id"""
+  CASE WHEN n.note = 'no_pose_detection' THEN 0 ELSE 6 END AS n_rows,
+  b.bbox_confidence AS subject_confidence, b.x1 / b.image_width AS subject_x,
+  (b.y2 - b.y1) / b.image_height AS subject_h
+FROM v_summary s JOIN v_notes n ON s.image_id = n.image_id
+LEFT JOIN v_best b ON s.image_id = b.image_id"""
 )
 def result_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested document through its JSON text and back."""
@@ -412,6 +415,9 @@ def result_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("r.debug.notes", ",").alias("note"),
         F.size("r.detections").alias("n_eyes"),
         F.size("r.debug.pose_keypoints").alias("n_rows"),
+        F.col("r.subject_confidence").alias("subject_confidence"),
+        F.get("r.subject_bbox_norm", F.lit(0)).alias("subject_x"),
+        F.get("r.subject_bbox_norm", F.lit(3)).alias("subject_h"),
     )
 
 

@@ -112,6 +112,8 @@ RESULT = T.StructType(
         T.StructField(SUMMARY_FIELD, SUMMARY),
         T.StructField("detections", T.ArrayType(EYE_DETECTION)),
         T.StructField("debug", DEBUG),
+        T.StructField("subject_bbox_norm", T.ArrayType(T.DoubleType())),
+        T.StructField("subject_confidence", T.DoubleType()),
     ]
 )
 
