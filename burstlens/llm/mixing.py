@@ -225,17 +225,24 @@ def mix_sources(
     weights: tuple = (1, 2, 3),
     seed: int = 0,
 ) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
+
+    Rows without words are never taken; a null source is a source of its own; equal rows are
+    taken one by one and may be swapped. No name of the columns can clash.
+    """
     copies = mixed_sizes(docs, key, text, source, weights, seed).select(
-        "_order", F.col("source").alias("_source"), "_nth", "copies"
-    )
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))
-    named = docs.withColumn("_order", order).withColumn("_nth", _nth("_order", source))
+        F.col("_order").alias("_copy_order"), F.col("source").alias("_copy_source"),
+        F.col("_nth").alias("_copy_nth"), "copies",
+    )
+    # The caller's row travels as one value.
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")).alias("_order"),
+        F.col(f"`{source}`").alias("_source"),
+    ).withColumn("_nth", _nth("_order", "_source"))
     both = named.join(
         copies.filter("copies > 0"),
-        (named["_order"] == copies["_order"])
-        & (named["_nth"] == copies["_nth"])
-        & named[source].eqNullSafe(copies["_source"]),
-    ).select(*[named[c] for c in docs.columns], "copies")
+        F.expr("_order = _copy_order AND _nth = _copy_nth AND _source <=> _copy_source"),
+    )
     again = F.sequence(F.lit(1), F.col("copies").cast("int"))
-    return both.withColumn("_again", F.explode(again)).select(*docs.columns)
+    return both.select("given", F.explode(again)).select("given.*")

@@ -1,12 +1,17 @@
 """PII with DataFrame functions only: patterns, and terms that give an entity away.
 
-Base spans are found by pattern. A term that stands near a protected entity gives it away if
-knowing the term tells most of what knowing the entity would: with document counts n over a
-corpus of N documents, the term's pointwise mutual information
+Base spans are found by pattern. A term that occurs together with a protected entity gives it
+away if knowing the term tells most of what knowing the entity would: with document counts n
+over a corpus of N documents, the term's pointwise mutual information
 ``log2(n(entity, term) * N / (n(entity) * n(term)))`` is compared with the information
 content ``log2(N / n(entity))`` of the entity. Terms that reach ``threshold`` of it, on
-``min_support`` documents at least, are disclosing and become spans of kind ``term`` near
-that entity. Entities are generalised to their kind, terms are removed.
+``min_support`` documents at least, are disclosing: wherever they stand in a document that
+holds the entity they become spans of kind ``term``. Entities are generalised to their kind,
+terms are removed. Documents are whole texts, and repeated rows count as often as they come.
+
+As a pair's documents are at most those of its entity, a term in more than
+``n(entity) * (N / n(entity)) ** (1 - threshold)`` documents cannot reach the threshold; such
+pairs are dropped before they are formed, which changes no result.
 """
 
 from __future__ import annotations
@@ -119,61 +124,69 @@ def term_of(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(_EDGES)))
 
 
-def _near_words(text: Column, base: Column, chars: int) -> Column:
-    """Words within ``chars`` code points of an entity, with offsets and the entity."""
-    empty = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-
-    def around(span: Column) -> Column:
-        lo = F.greatest(span["start"] - chars, F.lit(0))
-        window = F.substring(text, lo + 1, span["end"] - lo + chars)
-        entity = F.concat(span["kind"], F.lit(":"), span["value"])
-        # The words at the ends of the window may be cut, unless the text ends there.
-        cut_left, cut_right = lo > 0, lo + F.length(window) < F.length(text)
-        located = _located(window, _WORD, "word")
-
-        def whole(w: Column) -> Column:
-            a, b = w["start"] + lo, w["end"] + lo
-            return (
-                ((b <= span["start"]) | (a >= span["end"]))
-                & ~(cut_left & (w["start"] == 0))
-                & ~(cut_right & (w["end"] == F.length(window)))
-                & ~F.exists(base, lambda s: (s["start"] < b) & (a < s["end"]))
-            )
-
-        return F.transform(
-            F.filter(located, whole),
-            lambda w: F.struct(
-                entity.alias("entity"),
-                term_of(w["value"]).alias("term"),
-                (w["start"] + lo).alias("start"),
-                (w["end"] + lo).alias("end"),
-            ),
+def _located_terms(text: Column, terms: Column) -> Column:
+    """The words of a text that are one of ``terms``, as spans, in order."""
+    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    between = F.split(text, _WORD, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + F.length(pair["gap"])
+        end = begin + F.length(pair["value"])
+        term = term_of(pair["value"])
+        span = F.struct(
+            F.lit("term").alias("kind"), begin.alias("start"), end.alias("end"), term.alias("value")
         )
+        spans = F.when(
+            F.array_contains(terms, term), F.concat(acc["spans"], F.array(span))
+        ).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    pairs = F.zip_with(
+        F.slice(between, F.lit(1), F.size(found)),
+        found,
+        lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")),
+    )
+    return F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+
 
-    return F.when(F.size(base) > 0, F.flatten(F.transform(base, around))).otherwise(empty)
+def _terms(text: Column) -> Column:
+    """The different terms of a text that have a letter."""
+    every = F.array_distinct(F.transform(F.split(text, _GAP), term_of))
+    return F.filter(every, lambda t: t.rlike(r"\p{L}"))
 
 
 def disclosing_terms(
-    near: DataFrame, words: DataFrame, n_docs: int, threshold: float, min_support: int
+    held: DataFrame, words: DataFrame, n_docs: int, threshold: float, min_support: int
 ) -> DataFrame:
-    """``entity, term`` pairs by which a term gives the entity away.
+    """``doc`` and its disclosing ``terms``.
 
-    ``near`` has ``row, entity, term``, one row per word near an entity; ``words`` has
-    ``row, term``, one row per term of each document. Only counts of terms that reach the
-    support with one entity matter, but all documents are counted.
+    ``held`` has ``doc, times, entities, terms`` of each different document that holds an
+    entity, ``words`` has ``term, n_term`` over all documents.
     """
-    pairs = near.select("row", "entity", "term").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    likely = together.filter(F.col("n_both") >= min_support)
-    entities = (
-        near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    total = float(max(n_docs, 1))
+    each = held.select("doc", "times", F.explode("entities").alias("entity"))
+    sizes = each.groupBy("entity").agg(F.sum("times").alias("n_entity"))
+    most = F.col("n_entity") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1.0 - threshold))
+    live = each.join(sizes.filter(F.col("n_entity") >= min_support), "entity").withColumn(
+        "limit", most * (1 + 1e-9)
     )
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    known = likely.join(entities, "entity").join(terms, "term")
-    total = F.lit(float(max(n_docs, 1)))
-    shared = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(total / F.col("n_entity"))
-    return known.filter((content > 0) & (shared >= threshold * content)).select("entity", "term")
+    live = stored(live, "entities")
+    tops = live.groupBy("doc").agg(F.max("limit").alias("top"))
+    mine = held.join(tops, "doc").select("doc", "top", F.explode("terms").alias("term"))
+    rare = words.filter(F.col("n_term") >= min_support)
+    mine = mine.join(rare, "term").filter(F.col("n_term") <= F.col("top"))
+    mine = stored(mine.select("doc", "term", "n_term"), "rare-terms")
+    pairs = mine.join(live, "doc").filter(F.col("n_term") <= F.col("limit"))
+    counted = pairs.groupBy("entity", "term").agg(
+        F.sum("times").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term")
+    )
+    shared = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    told = (content > 0) & (shared >= threshold * content) & (F.col("n_both") >= min_support)
+    telling = counted.filter(told).select("entity", "term")
+    hits = pairs.select("doc", "entity", "term").join(telling, ["entity", "term"])
+    return hits.groupBy("doc").agg(F.collect_set("term").alias("terms"))
 
 
 def find_pii(
@@ -182,51 +195,47 @@ def find_pii(
     text: str = "text",
     threshold: float = 0.8,
     min_support: int = 2,
-    near_chars: int = 60,
 ) -> DataFrame:
     """``docs`` with ``spans``: kind, start, end (code points, end exclusive) and value.
 
-    Base spans come first, by kind, then start; disclosing terms follow by start. Null and
-    empty texts have none. Repeated rows count as documents of their own and get equal spans.
-    All columns stay; one named like a result is replaced. An empty table gives no rows.
+    Base spans come first, by kind, then start; disclosing terms follow by start, but for words
+    that touch a base span. Null and empty texts have none. Repeated rows count as documents of
+    their own and get equal spans; a null key is a key. All columns stay, whatever their names;
+    one named ``spans`` is replaced. An empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("spans",)]
+    kept = [c for c in docs.columns if c.lower() != "spans"]
+    # The caller's row travels as one value, so that no name of its columns can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept])
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
-        *kept, F.coalesce(F.col(text), F.lit("")).alias("_text")
-    ).withColumn("_base", base_spans(F.col("_text")))
-    # A document is named by its key and text; repeated rows are counted by _times.
-    doc = F.xxhash64(F.col(key).cast("string"), F.col("_text"))
-    with_entity = stored(
-        rows.filter(F.size("_base") > 0).select(
-            doc.alias("row"),
-            F.explode_outer(_near_words(F.col("_text"), F.col("_base"), near_chars)).alias("w"),
-        ).select("row", "w.*").filter(F.length("term") > 2)
-    )
-    words = docs.select(
-        F.explode(
-            F.array_distinct(
-                F.transform(F.split(F.coalesce(F.col(text), F.lit("")), _GAP), term_of)
-            )
-        ).alias("term")
-    ).filter(F.length("term") > 2)
-    pairs = stored(
-        disclosing_terms(with_entity, words, docs.count(), threshold, min_support)
+        whole.alias("given"),
+        F.xxhash64(F.col(f"`{key}`").cast("string"), body).alias("doc"),
+        body.alias("text"),
+    ).withColumn("base", base_spans(F.col("text")))
+    entities = F.array_distinct(
+        F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"]))
     )
-    hits = (
-        with_entity.join(pairs, ["entity", "term"])
-        .select("row", F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")).alias("s"))
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_set("s")).alias("_terms"))
+    holding = rows.filter(F.size("base") > 0)
+    held = stored(
+        holding.select("doc", entities.alias("entities"), _terms(F.col("text")).alias("terms"))
+        .groupBy("doc")
+        .agg(F.count("*").alias("times"), F.first("entities").alias("entities"), F.first("terms").alias("terms")),
+        "held",
     )
-    return (
-        rows.withColumn("row", doc)
-        .join(hits, "row", "left")
-        .withColumn(
-            "spans",
-            F.concat(F.col("_base"), F.coalesce(F.col("_terms"), F.array().cast(_SPANS))),
-        )
-        .select(*kept, "spans")
+    words = (
+        rows.select(F.explode(F.array_distinct(F.transform(F.split("text", _GAP), term_of))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("n_term"))
     )
+    found = stored(disclosing_terms(held, words, docs.count(), threshold, min_support), "disclosing")
+
+    def bare(s: Column) -> Column:
+        return ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    told = F.when(F.col("terms").isNotNull(), F.filter(_located_terms(F.col("text"), F.col("terms")), bare))
+    spans = F.concat("base", F.coalesce(told, F.array().cast(_SPANS)))
+    marked = rows.join(found, "doc", "left").select("given", spans.alias("spans"))
+    return marked.select("given.*", "spans")
 
 
 def sanitise(text: Column, spans: Column) -> Column:

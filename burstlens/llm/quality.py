@@ -205,7 +205,7 @@ def keep_good(
     travels through the rules in place of the key.
     """
     verdicts = quality_rules(
-        docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).alias("_text")),
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text")),
         "_row",
         "_text",
         bands,

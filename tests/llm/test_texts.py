@@ -106,6 +106,65 @@ def test_disclosing_terms(spark):
     assert find_pii(frame(spark, texts).limit(0)).count() == 0
 
 
+EDGES = ".,;:!?()[]{}<>\"'`|*#%&$^~_=+-/\\@"
+
+
+def plain_terms(rows, threshold=0.8, least=2):
+    """The disclosing words of each row, by counting every pair of entity and term."""
+    emails = [sorted(set(m.group() for m in re.finditer(PATTERNS["email"], t or ""))) for _, t in rows]
+    terms = [{w.strip(EDGES).lower() for w in (t or "").split()} for _, t in rows]
+    n_entity, n_term, both = Counter(), Counter(), Counter()
+    for found, words in zip(emails, terms, strict=True):
+        n_entity.update(found)
+        n_term.update(words)
+        both.update((e, w) for e in found for w in words)
+    n, told = len(rows), set()
+    for (e, w), k in both.items():
+        content = np.log2(n / n_entity[e])
+        if k >= least and content > 0 and np.log2(k * n / (n_entity[e] * n_term[w])) >= threshold * content - 1e-12:
+            told.add((e, w))
+    out = []
+    for (_, t), found in zip(rows, emails, strict=True):
+        base = [m.span() for m in re.finditer(PATTERNS["email"], t or "")]
+        words = [(m.start(), m.end(), m.group().strip(EDGES).lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        out.append([
+            x for x in words
+            if re.search(r"[^\W\d_]", x[2]) and any((e, x[2]) in told for e in found)
+            and not any(a < x[1] and x[0] < b for a, b in base)
+        ])
+    return out
+
+
+def test_disclosing_terms_against_all_pairs(spark):
+    """Far terms, entities that stand alone, short names, repeated rows, terms that stand elsewhere too."""
+    rng = random.Random(11)
+    common = [f"word{i}" for i in range(30)]
+    people = [("a@b.org", "Zed"), ("c@d.net", "Yü"), ("e@f.com", "o"), ("g@h.io", "42"), ("solo@x.org", "Once")]
+    rows = []
+    for i in range(300):
+        words = rng.choices(common, k=rng.randint(1, 120))
+        mail, name = people[i % 4]
+        if i % 3 == 0:
+            words.insert(0, f"{name},")  # far from its entity
+            words.append(f"<{mail}>" if i % 2 else mail)
+        elif i % 7 == 0:
+            words = [mail]
+        elif i % 25 == 0:
+            words.append(name)
+        rows.append((i, " ".join(words)))
+    rows += [(900, "solo@x.org Once only"), (901, "rare@y.org Twice told")] + [(901, "rare@y.org Twice told")]
+    rows += [(902, None), (903, ""), (None, "a@b.org Zed"), (None, "a@b.org Zed")]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "doc_id bigint, text string, terms string").repartition(6)
+    found = Counter()
+    for r in find_pii(df).collect():
+        terms = tuple((s["start"], s["end"], s["value"]) for s in r["spans"] if s["kind"] == "term")
+        found[r["doc_id"], r["text"], terms] += 1
+    expected = Counter((*r, tuple(terms)) for r, terms in zip(rows, plain_terms(rows), strict=True))
+    assert found == expected
+    told = {t[2] for _, _, terms in expected for t in terms}
+    assert "twice" in told and "yü" in told and "once" not in told and "42" not in told
+
+
 def test_mix_reaches_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "w " * int(n), f"s{i % 4}" if i % 9 else None) for i, n in enumerate(rng.geometric(0.02, 900))]

@@ -157,7 +157,7 @@ def test_token_query_against_the_library(spark, sf_dir):
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_table_files(spark, tmp_path, encoding, monkeypatch):
     monkeypatch.setattr(TT, "PART_IDS", 1000)  # long documents become several rows
-    texts = [*ODD, None] * 3
+    texts = [*ODD, None] * 3 + [f"some words here number {i} " * 40 for i in range(300)]
     path = str(tmp_path / "table")
     docs = frame(spark, texts, shard="s", ids="i", key="k", part="p")
     TT.write_token_table(docs, path, shards=4, encoding=encoding, row_group_bytes=4_000, page_bytes=1_000)
