@@ -7,10 +7,10 @@ their probability Jaccard similarity, which does not change if one repeats all i
 
 Registers are hashed in bands. Texts that share a bucket are linked to a few leading members of
 it, not to each other; candidates whose registers agree often enough are verified exactly.
-A few further turns compare the members of buckets that hold several classes with members of
-other classes, drawn anew for each bucket and turn. They only make classes fewer: the last
-step compares the sketches of all pairs that share a bucket and are still in different
-classes, so that no link is left to chance.
+That only makes classes fewer: the last step compares the sketches of all pairs that share a
+bucket and are still in different classes, so that no link is left to chance. It verifies pairs
+where it meets them and passes on only links that join classes, so what leaves a task is less
+than the rows that enter it.
 Equal word sequences are one text from the start, and only their first row goes further.
 """
 
@@ -31,9 +31,7 @@ from burstlens.llm.repeats import WordHashes, gram_hashes
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6  # two texts of similarity 0.8 share a bucket with probability 0.999
-PIVOTS = 6  # classes of a bucket that a turn compares all its members with
-TURNS = 2  # such turns before all remaining pairs are compared
-PART = 4_096  # rows of a bucket that one task compares with those of other classes at once
+PART = 512  # rows of a bucket that are compared at once with as many of other classes
 PAIRS = 1_000_000  # pairs of one numpy pass; only memory depends on it
 HELD = 2_000_000  # shingles that a task keeps at hand for further pairs; only memory depends on it
 _NO_KEY = -(2**63)
@@ -153,41 +151,108 @@ def _agreeing(least: float, size: int) -> float:
     return size * (least * (1 - 1 / 256) + 1 / 256)
 
 
-def _all_alike(least: float):
-    """Like ``_alike`` for all pairs of a part of a bucket, its asking rows first.
-
-    Pairs within a class are left out.
+class _Weighted:
+    """Shingles and counts of the texts at hand."""
+
+    def __init__(self):
+        self.known, self.last, self.held = WordHashes(), {}, 0
+
+    def __call__(self, row: int, text: str) -> tuple:
+        if row not in self.last:
+            if self.held > HELD:
+                self.last.clear()
+                self.held = 0
+            words = text.encode().split()
+            hashes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+            self.last[row] = np.unique(shingles(hashes), return_counts=True)
+            self.held += len(words)
+        return self.last[row]
+
+
+def _similarities(x: tuple, others: list[tuple]) -> np.ndarray:
+    """``probability_jaccard`` of one text with others, at once where no shingle repeats."""
+    if (x[1] != 1).any():
+        return np.array([probability_jaccard(x, y) for y in others])
+    sizes = np.array([len(y[0]) for y in others])
+    joined = np.concatenate([y[0] for y in others])
+    at = np.searchsorted(x[0], joined)
+    hit = x[0][np.minimum(at, len(x[0]) - 1)] == joined
+    shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes)
+    found = shared / (len(x[0]) + sizes - shared)
+    for i, y in enumerate(others):
+        if len(y[0]) != y[1].sum():
+            found[i] = probability_jaccard(x, y)
+    return found
+
+
+def _linked(least: float, slack: float):
+    """Links that join classes of a cell: some rows of a bucket, and some that ask for partners.
+
+    A pair belongs to the first of the buckets that its texts share. Classes that a link joins
+    are one for the pairs after it, so links are fewer than classes.
     """
 
+    def cell(weighted: _Weighted, bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, label = rows["row"].to_numpy(), rows["label"].to_numpy()
+        asker = rows["asker"].to_numpy()
+        sketch = _sketches(rows["sketch"])
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        band = int((bands[0] == bucket).argmax())
+        texts = rows["text"]
+        targets, askers = np.flatnonzero(rows["is_row"].to_numpy()), np.flatnonzero(rows["asks"].to_numpy())
+        parent = {c: c for c in set(label.tolist())}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        agreeing = _agreeing(least - slack, sketch.shape[1])
+        columns = sketch[targets].T.copy()
+        links = []
+        for y in askers.tolist():
+            agree = np.zeros(len(targets), np.uint16)
+            for k, theirs in enumerate(sketch[y].tolist()):
+                agree += columns[k] == theirs
+            x = targets[(agree >= agreeing) & (label[targets] != label[y])]
+            # Two askers meet twice, unless one of them does not ask.
+            x = x[~asker[x] | (ids[x] < ids[y])]
+            x = x[(bands[x] == bands[y]).argmax(1) == band]
+            mine = root(int(label[y]))
+            x = [i for i in x.tolist() if root(int(label[i])) != mine]
+            if not x:
+                continue
+            one = weighted(int(ids[y]), texts[y].as_py())
+            near = _similarities(one, [weighted(int(ids[i]), texts[i].as_py()) for i in x])
+            for i in np.flatnonzero(near >= least).tolist():
+                other, mine = root(int(label[x[i]])), root(int(label[y]))
+                if other != mine:
+                    parent[other] = mine
+                    links.append(sorted((int(ids[x[i]]), int(ids[y]))))
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, asked = None, []
+        weighted = _Weighted()
+        current, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, part, is_row, row, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            sketch = _sketches(batch.column(5))
-            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
-            ends = [0, *change.tolist(), batch.num_rows]
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            change = np.zeros(batch.num_rows - 1, bool)
+            for k in keys:
+                change |= k[1:] != k[:-1]
+            ends = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                if (bucket[lo], part[lo]) != current:
-                    current, asked = (bucket[lo], part[lo]), []
-                split = lo + int(np.searchsorted(is_row[lo:hi], 1))
-                if split > lo:
-                    asked.append((row[lo:split], label[lo:split], sketch[lo:split].T.copy()))
-                for ids, classes, other in asked:
-                    step = max(1, PAIRS // len(ids))
-                    for at in range(split, hi, step):
-                        to = min(hi, at + step)
-                        agree = np.zeros((to - at, len(ids)), np.uint16)
-                        for k, theirs in enumerate(other):
-                            agree += sketch[at:to, k, None] == theirs
-                        found = agree >= _agreeing(least, len(other))
-                        x, y = np.nonzero(found & (label[at:to, None] != classes))
-                        if len(x):
-                            a, b = row[at:to][x], ids[y]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-                            )
+                key = tuple(int(k[lo]) for k in keys)
+                if held and key != current:
+                    yield from cell(weighted, current[0], pa.Table.from_batches(held))
+                    held = []
+                current = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from cell(weighted, current[0], pa.Table.from_batches(held))
 
     return run
 
@@ -196,22 +261,7 @@ def _verified(least: float):
     """Pairs whose exact similarity reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        last: dict = {}
-        held = 0
-
-        def weighted(row: int, text: str) -> tuple:
-            nonlocal held
-            if row not in last:
-                if held > HELD:
-                    last.clear()
-                    held = 0
-                words = text.encode().split()
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                last[row] = np.unique(shingles(hashes), return_counts=True)
-                held += len(words)
-            return last[row]
-
+        weighted = _Weighted()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = [
@@ -229,8 +279,9 @@ def _verified(least: float):
 def components(edges: DataFrame) -> DataFrame:
     """``row`` and ``label`` of every linked row: equal for rows that links join.
 
-    Every row moves to its smallest neighbour and links follow; links within a class vanish,
-    so each turn leaves far fewer of them.
+    Every row points to its smallest neighbour; pointers are followed to their ends by jumps,
+    each of which doubles their reach, so a chain of n rows takes log(n) of them. Links then
+    move to where their rows point; those within a class vanish, so each turn leaves far fewer.
     """
     labels = None
     while not edges.isEmpty():
@@ -239,6 +290,12 @@ def components(edges: DataFrame) -> DataFrame:
             both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("to")),
             "moves",
         )
+        while True:
+            onward = moves.select(F.col("row").alias("to"), F.col("to").alias("next")).filter("to <> next")
+            far = moves.join(onward, "to", "left")
+            if far.filter("next IS NOT NULL").isEmpty():
+                break
+            moves = stored(far.select("row", F.coalesce("next", "to").alias("to")), "moves")
         if labels is None:
             labels = moves.select("row", F.col("to").alias("label"))
         else:
@@ -283,35 +340,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _cross_links(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets that hold several classes, with members of up to PIVOTS other classes.
-
-    Class and member are drawn by hash, so that each turn and each bucket tries others, and
-    small classes are drawn as often as large ones.
-    """
-    labelled = shared.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    pivots = []
-    for i in range(PIVOTS):
-        drawn = F.xxhash64(F.lit(turn), F.lit(i), "bucket", "label").bitwiseAND(F.lit(-(1 << 32)))
-        member = F.xxhash64(F.lit(turn), F.lit(i), "row").bitwiseAND(F.lit((1 << 32) - 1))
-        pivots += [F.min_by(c, drawn.bitwiseOR(member)).alias(f"{c}{i}") for c in ("row", "label")]
-    mixed = (
-        labelled.groupBy("bucket")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *pivots)
-        .filter("lo <> hi")
-    )
-    others = F.array_distinct(
-        F.array(*[F.struct(F.col(f"row{i}").alias("row"), F.col(f"label{i}").alias("label")) for i in range(PIVOTS)])
-    )
-    met = labelled.join(mixed, "bucket").select("row", "label", F.explode(others).alias("other"))
-    return _pairs(met.filter("label <> other.label").select("row", F.col("other.row").alias("other")))
-
-
-def _rest(shared: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """All pairs of rows that share a bucket, not a class, and whose sketches are alike.
+def _rest(banded: DataFrame, shared: DataFrame, labels: DataFrame, some: DataFrame, bodies: DataFrame, least: float, slack: float) -> DataFrame:
+    """Links between rows that share a bucket, not a class, which join all such classes.
 
-    Rows of the largest class of a bucket lie in one part of it, all others also ask in every
-    part; so a class costs no more than its size for each row beside it.
+    Rows of a bucket that are not of its largest class ask; rows and askers are dealt to cells
+    of PART and PART, so that no task holds more of a bucket, and each pair meets in a cell.
     """
     labelled = shared.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     mixed = (
@@ -320,16 +353,37 @@ def _rest(shared: DataFrame, labels: DataFrame, sketches: DataFrame, least: floa
         .groupBy("bucket")
         .agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
         .filter("classes > 1")
-        .select("bucket", F.col("most.label").alias("most"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+        .select(
+            "bucket",
+            F.col("most.label").alias("most"),
+            F.ceil(F.col("n") / PART).cast("int").alias("parts"),
+            F.ceil((F.col("n") - F.col("most.n")) / PART).cast("int").alias("chunks"),
+        )
     )
-    members = stored(labelled.join(mixed, "bucket").join(sketches, "row"), "members")
-    facts = ["row", "label", "sketch"]
-    here = members.select("bucket", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"), F.lit(1).alias("is_row"), *facts)
-    there = members.filter("label <> most").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("is_row"), *facts
+    facts = some.select("row", "sketch").join(banded, "row").join(bodies, "row")
+    asker = F.col("label") != F.col("most")
+    members = labelled.join(mixed, "bucket").withColumns(
+        {
+            "asker": asker,
+            "p": F.pmod(F.xxhash64("row"), "parts").cast("int"),
+            "q": F.pmod(F.xxhash64("row", F.lit(1)), "chunks").cast("int"),
+        }
     )
-    both = here.unionByName(there).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "is_row")
-    return both.mapInArrow(_all_alike(least), _EDGES).distinct()
+    as_row = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda q: F.struct(F.col("p").alias("p"), q.alias("q"), F.lit(True).alias("is_row"), (F.col("asker") & (q == F.col("q"))).alias("asks")),
+    )
+    as_asker = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.col("asker") & (p != F.col("p"))),
+        lambda p: F.struct(p.alias("p"), F.col("q").alias("q"), F.lit(False).alias("is_row"), F.lit(True).alias("asks")),
+    )
+    cells = members.select("bucket", "row", "label", "asker", F.explode(F.concat(as_row, as_asker)).alias("cell"))
+    placed = cells.join(facts, "row").select(
+        "bucket", "cell.p", "cell.q", "row", "label", "asker", "cell.is_row", "cell.asks", "sketch", "bands", "text"
+    )
+    order = ("bucket", "p", "q")
+    sorted_ = placed.repartition(*order).sortWithinPartitions(*order)
+    return sorted_.mapInArrow(_linked(least, slack), _EDGES).distinct()
 
 
 def near_classes(
@@ -383,6 +437,7 @@ def near_classes(
     some = stored(texts.join(concerned, "row").select("row", "doc", "tie", "sketch"), "candidates")
     bodies = stored(
         given.join(some.select("row", "doc", "tie").hint("merge"), ["doc", "tie"])  # alike at every size
+        .dropDuplicates(["doc", "tie"])  # repeated rows are one text
         .select("row", F.coalesce("text", F.lit("")).alias("text")),
         "bodies",
     )
@@ -397,17 +452,10 @@ def near_classes(
         return verified(_sides(pairs, sketches, "sketch").mapInArrow(_alike(similarity - slack), _EDGES))
 
     leaders = F.array_distinct(F.array(*[F.col(f"m{i}") for i in range(len(_ORDERS))]))
-    tried = stored(_pairs(met.select("row", F.explode(leaders).alias("other"))), "pairs")
-    labels = components(checked(tried))
-    for turn in range(1, TURNS + 1):
-        fresh = stored(_cross_links(shared, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = checked(fresh)
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
-            break
-        labels = _joined(labels, more)
-    rest = stored(_rest(shared, labels, sketches, similarity - slack).join(tried, ["a", "b"], "left_anti"), "rest")
-    labels = _joined(labels, verified(rest))
+    pairs = stored(_pairs(met.select("row", F.explode(leaders).alias("other"))), "pairs")
+    labels = components(checked(pairs))
+    rest = _rest(texts.select("row", "bands"), shared, labels, some, bodies, similarity, slack)
+    labels = _joined(labels, stored(rest, "edges"))
 
     # Copies follow their first row, which follows its class's first row.
     lead = (
@@ -456,12 +504,19 @@ def first_of_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *
         .filter("is_first")
         .select(F.col(key).alias("_key"), F.col("tie").alias("_tie"), F.lit(True).alias("_chosen"))
     )
-    named = docs.withColumn("_tie0", F.coalesce(F.xxhash64(text), F.lit(0)))
-    both = named.join(chosen, named[key].eqNullSafe(chosen["_key"]) & (named["_tie0"] == chosen["_tie"]), "left_semi")
-    twin = F.row_number().over(Window.partitionBy(key, "_tie0").orderBy("_tie0"))
+    # The caller's row travels as one value, so that no name of its columns can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     words = F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]", "")), F.lit(0))
+    named = docs.select(
+        whole.alias("given"),
+        F.col(f"`{key}`").alias("_key0"),
+        F.coalesce(F.xxhash64(text), F.lit(0)).alias("_tie0"),
+        (words == 0).alias("_wordless"),
+    )
+    both = named.join(chosen, named["_key0"].eqNullSafe(chosen["_key"]) & (named["_tie0"] == chosen["_tie"]), "left_semi")
+    twin = F.row_number().over(Window.partitionBy("_key0", "_tie0").orderBy("_tie0"))
     return (
         both.withColumn("_nth", twin)
-        .filter((F.col("_nth") == 1) | (words == 0))
-        .select(*docs.columns)
+        .filter((F.col("_nth") == 1) | F.col("_wordless"))
+        .select("given.*")
     )

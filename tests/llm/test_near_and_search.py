@@ -5,10 +5,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from burstlens.llm import near
+from burstlens.llm.mixing import mix_sources
 from burstlens.llm.near import first_of_classes, near_classes, probability_jaccard, registers
 from burstlens.llm.p_stable import nearest
+from burstlens.llm.pii import find_pii
+from burstlens.llm.quality import keep_good
 
 
 def exact(a, b):
@@ -127,18 +131,8 @@ def test_later_links_join_classes(spark):
     assert classes(near._joined(near.components(edges([])), edges(later))) == [[2, 3], [6, 9], [7, 8]]
 
 
-def test_cross_links_stay_within_bounds(spark):
-    """A bucket of one class gives no pair; mixed ones at most PIVOTS for each member."""
-    rows = [(1, r) for r in range(100)] + [(2, r) for r in range(100, 140)]
-    shared = spark.createDataFrame(rows, "bucket bigint, row bigint")
-    labels = spark.createDataFrame([(r, 100) for r in range(100, 140)], "row bigint, label bigint")
-    got = near._cross_links(shared, labels, 1).collect()
-    assert got and all(r["a"] < r["b"] < 100 for r in got)
-    assert len(got) <= near.PIVOTS * 100
-
-
 def test_no_link_is_left_to_the_draw(spark, monkeypatch):
-    """Planted pairs of 0.8 or more in a family just below it are found without pivot turns, with one leader."""
+    """Planted pairs of 0.8 or more in a family just below it are found with one leader."""
     rng = random.Random(5)
     common = [f"t{i}" for i in range(300)]
     texts = []
@@ -148,8 +142,6 @@ def test_no_link_is_left_to_the_draw(spark, monkeypatch):
     order = list(range(60))
     rng.shuffle(order)
     df = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id bigint, text string")
-    none = spark.createDataFrame([], "a bigint, b bigint")
-    monkeypatch.setattr(near, "_cross_links", lambda *_: none)
     monkeypatch.setattr(near, "_ORDERS", (0,))
     monkeypatch.setattr(near, "PART", 16, raising=False)
     classes = {}
@@ -174,3 +166,116 @@ def test_badly_served_queries_are_completed(spark):
             d[q] = np.inf
             assert len(got[q]) == 10
             assert len(got[q] & set(np.argsort(d)[:10].tolist())) >= least
+
+
+def families(rng, count, size, changes):
+    """Texts near and below the similarity limit, so that buckets hold many classes."""
+    words = [f"w{i}" for i in range(5000)]
+    for _ in range(count):
+        base = rng.choices(words, k=120)
+        for _ in range(size):
+            other = list(base)
+            for at in rng.sample(range(120), rng.choice(changes)):
+                other[at] = rng.choice(words)
+            yield " ".join(other)
+
+
+def brute_classes(texts):
+    counts = []
+    for t in texts:
+        w = t.split()
+        counts.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(counts[i] & counts[j])
+            if shared >= 0.8 * (len(counts[i]) + len(counts[j]) - shared):
+                label[root(i)] = root(j)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(root(i), i)
+    return [least[root(i)] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("part", [7, 512])
+def test_many_classes_of_a_bucket(spark, monkeypatch, part):
+    """All links between classes that share buckets are found, over cells of any size."""
+    monkeypatch.setattr(near, "PART", part)
+    texts = list(families(random.Random(8), 3, 60, (1, 2, 3, 4)))
+    expected = brute_classes(texts)
+    assert 3 < len(set(expected)) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.class_id for r in near_classes(df).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
+def test_a_cell_passes_on_fewer_links_than_rows(spark):
+    import pyarrow as pa
+
+    texts = list(families(random.Random(9), 1, 40, (0, 1)))
+    n = len(texts)
+    rows = pa.table(
+        {
+            "bucket": pa.array([5] * n), "p": pa.array([0] * n, pa.int32()), "q": pa.array([0] * n, pa.int32()),
+            "row": pa.array(range(n)), "label": pa.array(range(n)), "asker": pa.array([i > 0 for i in range(n)]),
+            "is_row": pa.array([True] * n), "asks": pa.array([i > 0 for i in range(n)]),
+            "sketch": pa.array([bytes(144)] * n), "bands": pa.array([[5] * 24] * n), "text": pa.array(texts),
+        }
+    )
+    links = [l for b in near._linked(0.8, 0.1)(rows.to_batches(max_chunksize=7)) for l in zip(*b.to_pydict().values(), strict=True)]
+    assert 20 < len(links) < n and len({frozenset(l) for l in links}) == len(links)
+
+
+def test_chains_take_few_jumps(spark, monkeypatch):
+    from burstlens.llm import near as module
+
+    written = []
+    real = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name="stored": written.append(name) or real(df, name))
+    chain = spark.range(999).selectExpr("id AS a", "id + 1 AS b")
+    labels = {r.row: r.label for r in near.components(chain).collect()}
+    assert set(labels.values()) == {0} and len(labels) == 1000
+    assert written.count("links") == 1 and len(written) <= 15
+    rng = random.Random(3)
+    names = list(range(200))
+    rng.shuffle(names)
+    tangled = spark.createDataFrame(list(zip(names[:-1], names[1:], strict=True)), "a bigint, b bigint")
+    assert {r.label for r in near.components(tangled).collect()} == {0}
+
+
+def test_repeated_texts_are_verified_once(spark, monkeypatch):
+    a, b = list(families(random.Random(4), 1, 1, (0,)))[0], None
+    b = a + " end"
+    rows = [(i % 2, (a, b)[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes = []
+    real = near.stored
+    monkeypatch.setattr(near, "stored", lambda d, name="stored": sizes.append((name, out := real(d, name), out.count())) or out)
+    found = near_classes(df).collect()
+    assert {r.class_id for r in found} == {0} and sum(r.is_first for r in found) == 1
+    assert {n for name, _, n in sizes if name == "bodies"} == {2}
+    assert max(n for name, _, n in sizes if name == "edges") == 1
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["row", "copies", "_order", "_nth", "_tie0", "_tie", "_key", "_text", "_base", "label", "bucket", "given", "doc", "base", "terms", "a.b"]
+    texts = [f"alpha beta gamma delta number {i} epsilon" for i in range(6)] + [None, ""]
+    rows = [(i, t, *[f"{n}-{i}" for n in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = first_of_classes(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[0]) == rows
+    found = find_pii(df)
+    assert found.columns == [*df.columns, "spans"]
+    assert sorted(map(tuple, found.drop("spans").collect()), key=lambda r: r[0]) == rows
+    mixed = mix_sources(df.withColumn("source", F.lit("s")))
+    assert mixed.columns == [*df.columns, "source"]
+    assert {tuple(r)[:-1] for r in mixed.collect()} <= set(rows) and mixed.count() > 0
+    good = keep_good(df.withColumn("text", F.concat(F.lit("Words that stand here once: "), "text")))
+    assert good.columns == df.columns
