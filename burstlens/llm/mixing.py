@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstlens.llm.common import WORD_PATTERN, mix64, stored, uniform
+from burstlens.operators.ordering import dense_index
 
 GROUP_ROWS = 1_024  # documents that meet in one group of the tree
 TIERS = (1_024, 64, 0)  # words from which on a document is large, middle, small
+HOT_SOURCES = 1_000  # so many sources at most are sent to all tasks
 MAX_COPIES = 3  # a target is at most so many times its source
 
 
@@ -35,27 +37,44 @@ def source_targets(rows: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
     """One row per source of ``rows`` (``source``, ``size``): count, size and target.
 
     With caps, the targets are ``min(cap, level * weight)`` for the one level at which they sum
-    up to all sizes. Sources that reach their cap first come first; the level that holds if just
-    the first k are capped rises until the right k and falls behind it, so it is the maximum.
+    up to all sizes. It rises from the level without caps: each turn caps the sources that have
+    reached theirs and shares what they leave, until no other source does. Sources are
+    numbered by a range sort, and a turn is one sum over them.
     """
     totals = rows.groupBy("source").agg(
         F.count("*").alias("source_rows"), F.sum("size").cast("bigint").alias("source_size")
     )
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    placed = dense_index(totals, [F.col("source").asc_nulls_last()], "place")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = totals.withColumn(
-        "weight", F.get(cycle, F.pmod(place - 1, F.lit(len(weights))))
-    ).withColumn("cap", F.lit(MAX_COPIES) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    capped = F.coalesce(
-        F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    weight = F.get(cycle, F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int"))
+    weighed = stored(
+        placed.withColumn("weight", weight).withColumn("cap", F.lit(MAX_COPIES) * F.col("source_size")),
+        "sources",
     )
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    levels = weighed.withColumn("level", (total - capped) / rest)
-    level = F.max("level").over(Window.partitionBy())
-    target = F.least(F.col("cap").cast("double"), level * F.col("weight"))
-    return levels.select("source", "source_rows", "source_size", target.alias("target"))
+    level = 0.0
+    while True:
+        capped = F.col("cap") <= F.lit(level) * F.col("weight")
+        fact = weighed.agg(
+            (F.sum("source_size") - F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0))).alias("left"),
+            F.sum(F.when(~capped, F.col("weight"))).alias("rest"),
+        ).first()
+        if not fact["rest"] or not fact["left"] / fact["rest"] > level:
+            break
+        level = fact["left"] / fact["rest"]
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return weighed.select("source", "source_rows", "source_size", target.alias("target"))
+
+
+def _with_shares(rows: DataFrame, shares: DataFrame, hot_rows: int) -> DataFrame:
+    """``rows`` with the columns of ``shares``, whose key is ``_s``.
+
+    The sources with at least ``hot_rows`` rows, ``HOT_SOURCES`` at most, go to all tasks, so
+    that their rows stay where they are. Rows of the others meet their source by hash.
+    """
+    same = F.expr("source <=> _s")
+    hot = F.broadcast(shares.filter(F.col("source_rows") >= hot_rows))
+    cold = shares.filter(F.col("source_rows") < hot_rows)
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(cold, same))
 
 
 def _round_group(seed: int):
@@ -138,7 +157,8 @@ def copy_counts(
     """
     rows = stored(rows)
     state = stored(source_targets(rows, weights).withColumn("carry", F.lit(0.0)))
-    most = state.agg(F.coalesce(F.max("source_rows"), F.lit(0))).first()[0]
+    fact = state.agg(F.max("source_rows").alias("most"), F.sum("source_rows").alias("all")).first()
+    most, hot_rows = fact["most"] or 0, math.ceil((fact["all"] or 0) / HOT_SOURCES)
     ratio = F.coalesce(
         F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0)
     )
@@ -157,7 +177,7 @@ def copy_counts(
             F.col("source").alias("_s"), "source_rows", "source_size", "target",
             share.alias("_share"),
         )
-        placed = mine.join(shares, F.expr("source <=> _s")).select(
+        placed = _with_shares(mine, shares, hot_rows).select(
             *rows.columns, "source_rows", "source_size", "target",
             F.when(F.col("size") > 0, F.floor("_share")).otherwise(0).cast("bigint").alias("_whole"),
             F.when(F.col("size") > 0, F.col("_share") - F.floor("_share")).otherwise(0.0).alias("_part"),
