@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from burstlens.llm.common import mix64, stored
 
 HOT = 4_096  # rows of a bucket that one task compares with the queries at once
-SAMPLE = 2_000  # vectors from which the width of the buckets is fitted
+ASKED = 512  # queries that are compared with the rows of a batch at once
+SAMPLE = 200  # vectors whose neighbours among all rows give the width of the buckets
+FAR = 0.9  # share of the sample whose last neighbour the first probes reach out for
 _ERF = np.frompyfunc(erf, 1, 1)
 
 
@@ -42,22 +44,17 @@ class Tables:
     radius: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, n_rows: int, tables: int, seed: int) -> Tables:
-        """Widths from the distance of neighbours in the sample, depth from the number of rows."""
-        dim = sample.shape[1]
+    def fit(cls, reach: np.ndarray, dim: int, n_rows: int, tables: int, seed: int) -> Tables:
+        """Width and radius from sampled distances ``reach``, depth from the number of rows."""
         draw = np.random.default_rng(seed)
-        square = (sample**2).sum(1)
-        distance = np.maximum(square[:, None] + square - 2 * sample @ sample.T, 0)
-        np.fill_diagonal(distance, np.inf)
-        near = np.sqrt(np.partition(distance, min(4, len(sample) - 1), axis=1))[:, : min(5, len(sample))]
-        finite = near[np.isfinite(near) & (near > 0)]
-        radius = float(np.median(finite)) if len(finite) else 1.0
+        reach = reach[np.isfinite(reach) & (reach > 0)]
+        middle, radius = np.quantile(reach, [0.5, FAR]) if len(reach) else (1.0, 1.0)
         depth = max(2, round(0.75 * log2(max(n_rows, 128) / 16)))
         return cls(
             draw.standard_normal((tables, depth, dim)),
             draw.uniform(0, 1, (tables, depth)),
-            2.0 * radius,
-            radius,
+            2.0 * float(middle),
+            float(radius),
         )
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -112,6 +109,25 @@ class Tables:
         return self.keys(home[:, :, None, :] + moves), visited, missed <= 1 - success + 1e-9
 
 
+def _reach(sample: np.ndarray, n: int):
+    """The ``n`` smallest distances of each sampled vector among the rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(sample), n), np.inf)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, HOT):
+                x = _matrix(batch.slice(lo, HOT).column(0))
+                square = (sample**2).sum(1)[:, None] + (x**2).sum(1) - 2 * sample @ x.T
+                both = np.concatenate([best, np.sqrt(np.maximum(square, 0))], axis=1)
+                best = np.partition(both, n - 1, axis=1)[:, :n]
+        of, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of.astype(np.int32)), pa.array(best[np.isfinite(best)])], names=["of", "score"]
+        )
+
+    return run
+
+
 def _index(tables: Tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +185,22 @@ def _compare(top: int):
     """Nearest candidates of the queries, from rows sorted by bucket with its queries first."""
     names = ["query", "found", "score"]
 
-    def distances(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rough = (x**2).sum(1) - 2 * q @ x.T
-        n = min(top + 5, x.shape[0])
-        near = np.argpartition(rough, n - 1, axis=1)[:, :n] if n < x.shape[0] else np.broadcast_to(np.arange(n), rough.shape)
-        return near, np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(-1))
+    def pairs(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # The rough distance is off by rounding alone: whatever may be among the nearest
+        # within that bound, equally near rows included, is measured exactly.
+        square = (x**2).sum(1)
+        rough = square - 2 * q @ x.T
+        nth = min(top, len(x)) - 1
+        longest = np.sqrt(square.max()) + np.sqrt((q**2).sum(1))
+        slack = 4 * (x.shape[1] + 2) * np.finfo(np.float64).eps * longest**2
+        limit = np.partition(rough, nth, axis=1)[:, nth] + slack
+        asking, near = np.nonzero(~(rough > limit[:, None]))  # where sums overflow, all stay
+        score = np.empty(len(near))
+        step = max(1, 2_000_000 // x.shape[1])
+        for lo in range(0, len(near), step):
+            at = slice(lo, lo + step)
+            score[at] = np.sqrt(((x[near[at]] - q[asking[at]]) ** 2).sum(1))
+        return asking, near, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -203,11 +230,11 @@ def _compare(top: int):
                     asked.append((ids[lo:split], x[lo:split]))
                 if split < hi:
                     for query, q in asked:
-                        near, score = distances(q, x[split:hi])
-                        held.append(
-                            (np.repeat(query, near.shape[1]), ids[split:hi][near].reshape(-1), score.reshape(-1))
-                        )
-                        size += score.size
+                        for at in range(0, len(q), ASKED):
+                            asking, near, score = pairs(q[at : at + ASKED], x[split:hi])
+                            best = _best(query[at : at + ASKED][asking], ids[split:hi][near], score, top)
+                            held.append(best)
+                            size += len(best[2])
                 if size > 500_000:
                     best = flush()
                     size = len(best)
@@ -250,10 +277,6 @@ def nearest(
     if not fact["n"]:
         return spark.createDataFrame([], out)
     rows = rows.filter(F.size("vec") == fact["dim"])
-    order = F.xxhash64("id")
-    sample = [r[0] for r in rows.orderBy(order, "id").select("vec").limit(SAMPLE).collect()]
-    fitted = Tables.fit(np.array(sample), fact["n"], tables, seed)
-
     # The smallest ids of equal vectors are all that any query can get of them.
     place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     classes = (
@@ -265,6 +288,20 @@ def nearest(
         .withColumn("id", F.get("ids", F.lit(0)))
     )
     classes = stored(classes, "vectors")
+    order = F.xxhash64("id")
+    sample = np.array([r[0] for r in classes.orderBy(order, "id").select("vec").limit(SAMPLE).collect()], np.float64)
+    # A vector is its own nearest.
+    nth = F.row_number().over(Window.partitionBy("of").orderBy("score"))
+    reach = (
+        classes.select("vec")
+        .mapInArrow(_reach(sample, top + 1), "of int, score double")
+        .withColumn("nth", nth)
+        .filter(F.col("nth") <= top + 1)
+        .groupBy("of")
+        .agg(F.max("score"))
+    )
+    reach = np.array([r[1] for r in reach.collect()])  # one number of each sampled vector
+    fitted = Tables.fit(reach, fact["dim"], fact["n"], tables, seed)
     index = stored(
         classes.select("id", "vec").mapInArrow(_index(fitted), f"id bigint, vec {kind}, keys array<bigint>"),
         "index",
