@@ -10,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect
 from collections import Counter
 from dataclasses import dataclass
-from math import ceil, floor, log
+from math import ceil, floor, isinf, log
 from operator import itemgetter
 
 import zstandard
@@ -50,7 +50,7 @@ class Bands:
     """Limits of compressed / raw bytes. ``limits`` has (bytes, low, high).
 
     Between two sizes the limits are interpolated over the logarithm of the size; beyond the
-    ends they stay. A document fails if its whole-text ratio is outside the band of its length,
+    ends they stay; a size without a limit has none up to the next one. A document fails if its whole-text ratio is outside the band of its length,
     or if chunks outside theirs hold at least ``chunk_share`` of its bytes. The numbers are
     ``fit_limits`` of clean labelled prose: the texts of sf0.1 with label quality 1 that pass
     the base rule, by lang, then doc_id.
@@ -69,7 +69,8 @@ class Bands:
             return self.limits[max(at - 1, 0)][1:]
         (a, *here), (b, *after) = self.limits[at - 1 : at + 1]
         part = log(size / a) / log(b / a)
-        return tuple(x + part * (y - x) for x, y in zip(here, after, strict=True))
+        between = (x if isinf(x) else x + part * (y - x) for x, y in zip(here, after, strict=True))
+        return tuple(between)
 
 
 def packer(level: int) -> zstandard.ZstdCompressor:
@@ -139,8 +140,9 @@ def quality_rules(
 ) -> DataFrame:
     """Word and line counts, compression ratios and the verdict for each row.
 
-    Null and empty texts have no words and fail the base rule; their ratio is null. Equal rows get equal results, every row is judged
-    on its own, and columns other than key and text are not looked at.
+    Null and empty texts have no words and fail the base rule; their ratio is null. Equal rows
+    get equal results, every row is judged on its own, and columns other than key and text are
+    not looked at.
     """
     bands = bands or Bands()
 
