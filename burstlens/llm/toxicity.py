@@ -262,13 +262,14 @@ def fit_toxicity(
 ) -> Field:
     """A field trained on at most ``sample_docs`` labelled documents of either class.
 
-    Held-out rows and null labels are left out; the sample goes by a hash of the key, and only
-    it reaches the driver.
+    Held-out rows and null labels are left out and repeated label rows count once; the sample
+    goes by a hash of the key, then of the text, and only it reaches the driver.
     """
     usable = (
         labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
         .filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1))
         .filter(~held_out("_k"))
+        .dropDuplicates()
     )
     totals = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -281,7 +282,7 @@ def fit_toxicity(
         docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
         .filter(F.octet_length("_t") <= SAMPLE_BYTES)
         .join(F.broadcast(chosen), "_k")  # at most 2 * sample_docs rows of two numbers
-        .orderBy("_k")
+        .orderBy("_k", F.xxhash64("_t"), "_t", "_y")
         .limit(2 * sample_docs)
         .collect()
     )
