@@ -24,7 +24,7 @@ from burstlens.llm.common import WORD_PATTERN, mix64, stored, uniform
 from burstlens.operators.ordering import dense_index
 
 GROUP_ROWS = 1_024  # documents that meet in one group of the tree
-TIERS = (1_024, 64, 0)  # words from which on a document is large, middle, small
+TIERS = (1_024, 256, 64, 16, 0)  # words from which on a document is of a tier, large ones first
 HOT_SOURCES = 1_000  # so many sources at most are sent to all tasks
 MAX_COPIES = 3  # a target is at most so many times its source
 
@@ -151,9 +151,10 @@ def copy_counts(
 ) -> DataFrame:
     """``rows`` (``source``, ``size``, ``_order``, ``_nth`` and others) with the number of copies.
 
-    The last document of a tree is rounded without a partner. Large documents therefore come
-    first, and the words by which they miss their share are spread evenly over the smaller
-    ones, so that only the smallest tier leaves an error, of one of its documents.
+    The last document of a tree is rounded without a partner; it may be any of its tier. Large
+    documents therefore come first, and the words by which they miss their share are spread
+    evenly over the smaller ones. The smallest tier that a source has leaves an error of one of
+    its documents, more only where shares of none or of ``MAX_COPIES`` stop the spreading.
     """
     rows = stored(rows)
     state = stored(source_targets(rows, weights).withColumn("carry", F.lit(0.0)))
