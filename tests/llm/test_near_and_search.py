@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from burstlens.llm import near
+from burstlens.llm import near, p_stable
 from burstlens.llm.mixing import mix_sources
 from burstlens.llm.near import first_of_classes, near_classes, probability_jaccard, registers
 from burstlens.llm.p_stable import nearest
@@ -114,6 +115,42 @@ def test_neighbours(spark):
     assert [tuple(r)[:3] for r in nearest(few).collect()] == [(0, 1, 5)]
 
 
+def test_equally_near_rows_go_by_key(spark):
+    """Binary vectors, far more of them equally near than are asked for, some far from the origin."""
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    for shift in (0.0, 1e6):
+        x = bits.astype(np.float64) + shift
+        x[0] += shift == 0  # no zero vector
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = {}
+        for r in nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        for q in (100, 200):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            best = np.lexsort((np.arange(256), d))[:10]
+            assert [got[q][k] for k in range(1, 11)] == [(int(i), d[i]) for i in best]
+
+
+def test_rounding_keeps_the_nearest():
+    """Far from the origin the rough distances of near rows are all alike, and some overflow."""
+    rng = np.random.default_rng(3)
+    for scale, shift in ((1e-3, 1e6), (1.0, 0.0), (1e160, 0.0)):
+        x = rng.standard_normal((300, 6)) * scale + shift
+        ids = np.concatenate([[1000], np.arange(300)])
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.zeros(301, np.int64)), pa.array(np.zeros(301, np.int32)),
+                pa.array(np.arange(301) > 0).cast(pa.int32()), pa.array(ids), pa.array([x[7].tolist(), *x.tolist()]),
+            ],
+            names=["bucket", "salt", "is_row", "id", "vec"],
+        )
+        with np.errstate(over="ignore", invalid="ignore"):
+            (out,) = p_stable._compare(5)([batch])
+            d = np.sqrt(((x - x[7]) ** 2).sum(1))
+        assert out.column(1).to_pylist() == np.lexsort((np.arange(300), d))[:5].tolist()
+
+
 def test_later_links_join_classes(spark):
     """Labels after later links name the same classes as all links at once."""
     first, later = [(1, 2), (3, 4), (5, 6)], [(2, 3), (7, 8), (6, 9)]

@@ -10,11 +10,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from burstlens.llm import mixing
 from burstlens.llm import queries as Q
 from burstlens.llm.mixing import mix_sources, mixed_sizes
-from burstlens.llm.pieces import MODEL, decode_pieces, sample_pieces
+from burstlens.llm.pieces import MODEL, Lattice, Pieces, decode_pieces, encode, row_seeds, sample_pieces
 from burstlens.llm.pii import find_pii, sanitise, span_digest
-from burstlens.llm.quality import keep_good, quality_rules
+from burstlens.llm.quality import Bands, keep_good, quality_rules
 from burstlens.llm.toxicity import fit_toxicity, marginals, score_toxicity
 
 PROSE = "The quick brown fox saw twelve odd birds near a frozen lake while nobody else was looking at them today."
@@ -38,6 +39,34 @@ def test_quality(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_query_on_the_whole_table(spark, sf_dir):
+    """The base columns against a plain count, and limits without gaps at any size."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    found = {r["doc_id"]: r for r in Q.QUERIES["op1_compression_bands"](spark, sf_dir).collect()}
+    assert len(found) == len(docs)
+    for doc_id, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        often = Counter(windows)
+        inside = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+        seen, again = set(), 0
+        for line in (text or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                again += line in seen
+                seen.add(line)
+        r = found[doc_id]
+        failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
+        symbols = sum((text or "").count(c) for c in "#*$%&|<>")
+        assert [r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")] == [
+            len(words), sum(map(len, words)), symbols, again, len(inside), failed
+        ]
+        assert not (failed and r["kept"])
+    bands = Bands()
+    for size in range(1, 60_000, 7):
+        low, high = bands.of(size)
+        assert low < high and (size < 75) == (high == float("inf"))
+
+
 def test_bands_lie_close_around_prose(spark, sf_dir):
     """What the base rule keeps and the bands reject: text without structure, and noisy prose."""
     rng = random.Random(4)
@@ -187,6 +216,88 @@ def test_mix_reaches_targets(spark):
     assert mixed_sizes(df.limit(0)).count() == 0
 
 
+def plain_targets(sizes):
+    """Targets by giving out all words and taking back what is over three times a source's size."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, open_sources, rest = {}, set(order), sum(sizes.values())
+    while open_sources:
+        total = sum(weight[s] for s in open_sources)
+        over = {s for s in open_sources if rest * weight[s] / total >= 3 * sizes[s]}
+        if not over:
+            return target | {s: rest * weight[s] / total for s in open_sources}
+        target |= {s: 3 * sizes[s] for s in over}
+        rest -= sum(3 * sizes[s] for s in over)
+        open_sources -= over
+    return target
+
+
+def test_mix_query_on_the_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    source = {r["doc_id"]: r["source"] for r in docs}
+    sizes, taken = Counter(), Counter()
+    for d, n in size.items():
+        sizes[source[d]] += n
+    target = plain_targets(sizes)
+    found = Q.QUERIES["op5_pivotal_mix"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(size)
+    for r in found:
+        d = r["doc_id"]
+        assert (r["size"], r["source_size"]) == (size[d], sizes[source[d]])
+        assert r["target"] == pytest.approx(target[source[d]])
+        assert r["taken"] == r["copies"] * size[d] <= 3 * size[d]
+        taken[source[d]] += r["taken"]
+    for s in sizes:  # ten documents of up to 2,933 words each
+        assert abs(taken[s] - target[s]) <= 0.05 * target[s]
+
+
+@pytest.mark.parametrize("hot_sources", [1, 1_000])
+def test_targets_of_many_sources(spark, monkeypatch, hot_sources):
+    """Geometric sizes cap sources turn by turn; few or all sources go to all tasks."""
+    monkeypatch.setattr(mixing, "HOT_SOURCES", hot_sources)
+    names = [None, "", "é", "z", "Z", "\U0001f600", "\uffff", *(f"s{i}" for i in range(20))]
+    rows = [(i, "w " * (1 + 2 ** (i % 11)), s) for i, s in enumerate(names * 4)] + [(999, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = plain_targets(sizes)
+    found = mixed_sizes(df).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(r[0] for r in rows)
+    for r in found:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
+
+
+def segmentations(text, vocab):
+    """Every way to spell ``text`` in pieces, with its weight."""
+    if not text:
+        yield (), 1.0
+    for i, piece in enumerate(vocab.pieces):
+        if piece and text.startswith(piece) and np.isfinite(vocab.log_weight[i]):
+            for rest, weight in segmentations(text[len(piece) :], vocab):
+                yield (i, *rest), weight * np.exp(vocab.log_weight[i])
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.3])
+def test_piece_probabilities_by_enumeration(alpha):
+    """Segmentations come as often as their share of the weight of all, and so do those of two words."""
+    vocab = Pieces.load(MODEL, alpha)
+    n = 20_000
+    ways = {text: dict(segmentations(text, vocab)) for text in ("▁canal", "▁on")}
+    ids, counts = encode(["canal on"] * n, row_seeds(list(range(n)), 0), Lattice(vocab))
+    ends = np.cumsum(counts)
+    drawn = Counter(tuple(ids[e - c : e].tolist()) for e, c in zip(ends, counts, strict=True))
+    chance = {
+        a + b: v * w / sum(ways["▁canal"].values()) / sum(ways["▁on"].values())
+        for a, v in ways["▁canal"].items()
+        for b, w in ways["▁on"].items()
+    }
+    assert set(drawn) <= set(chance) and len(chance) > 20
+    for way, p in chance.items():
+        assert abs(drawn[way] - n * p) <= 5 * np.sqrt(n * p * (1 - p)) + 3
+
+
 def test_pieces_are_lossless_and_repeatable(spark):
     texts = [PROSE, "", None, "  two  spaces ▁ mark ", "naïve 漢字 🙂\n\ttabs", PROSE * 40]
     df = frame(spark, texts)
