@@ -25,8 +25,9 @@ def pivot_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
 
     Where several part ids share a name, the first one of ``part_order`` (else the lowest id)
     that the image has wins; where ``locs`` has a ``place``, the last row of a part. The part
-    vocabulary is joined first. Ranks and values are numbers of fixed size, so the aggregate
-    hashes: the largest table is neither sorted nor shuffled before it is combined.
+    vocabulary goes to all tasks, by name of the side: Spark takes a table that grows out of a small
+    file for small, and would send that one. Ranks and values are numbers of fixed size, so the
+    aggregate hashes: the largest table is neither sorted nor shuffled before it is combined.
     """
     order = "part_order" if "part_order" in parts.columns else "part_id"
     wanted = parts.filter(F.col("part_name").isin(*C.LANDMARK_PARTS)).select(
@@ -36,7 +37,7 @@ def pivot_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
     if "place" in locs.columns:
         above = rank.cast("decimal(6,0)") * F.lit(Decimal(1 << _PLACE_BITS))
         rank = (above - F.col("place")).cast(PLACE)
-    named = locs.join(wanted, "part_id").withColumn("_rank", rank)
+    named = locs.join(F.broadcast(wanted), "part_id").withColumn("_rank", rank)
     point = {"x": F.col("x").cast("double"), "y": F.col("y").cast("double"), "v": F.col("v").cast("int")}
     found = []
     for name in C.LANDMARK_PARTS:
@@ -70,13 +71,14 @@ def classify_images(
     """Adds ``outcome``: ``no_bbox`` (or no file), ``small``, ``no_eye_head``, ``kept``.
 
     ``files`` lists what exists, with pixel dims (``file_name, width, height``). Boxes and
-    parts join on the image id, so one partitioning serves both.
+    parts join on the image id, so one partitioning serves both. All four grow with the images,
+    so none is sent whole to the tasks, however small its files are.
     """
     flat = images.withColumn("file_name", F.replace("file_name", F.lit("\\"), F.lit("/")))
     joined = (
-        flat.join(files, "file_name", "left")
-        .join(boxes, "image_id", "left")
-        .join(pivoted, "image_id", "left")
+        flat.join(files.hint("merge"), "file_name", "left")
+        .join(boxes.hint("merge"), "image_id", "left")
+        .join(pivoted.hint("merge"), "image_id", "left")
     )
     pixels = F.col("width").cast("double") * F.col("height")
     area = F.col("box_w") * F.col("box_h") / pixels

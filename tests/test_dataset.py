@@ -274,3 +274,17 @@ def test_upsert_replaces_touched_buckets_only(spark, tmp_path):
     assert spark.read.parquet(str(path)).filter("image_id = 5").first().focus_score == 0.9
     upsert_table(rows((0, 0), 0.2, "2030-01-01"), str(path), buckets=8)
     assert spark.read.parquet(str(path)).count() == 200
+
+
+def test_part_rows_are_not_sent_whole_to_the_tasks(spark, sf_dir):
+    from burstlens.plans import fixtures as X
+
+    tables = X.annotation_tables(spark, sf_dir)
+    pivoted = DS.pivot_parts(tables["locs"], tables["parts"])
+    files = X.annotation_files(spark, sf_dir)
+    classified = DS.classify_images(tables["images"], tables["boxes"], files, pivoted)
+    found = pivoted._jdf.queryExecution().executedPlan().toString()
+    assert found.count("BroadcastHashJoin [part_id") == 1
+    assert "Inner, BuildRight" in found and "Inner, BuildLeft" not in found
+    # Only the vocabulary is broadcast; images, files, boxes and parts grow with the input.
+    assert classified._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
