@@ -232,9 +232,12 @@ def find_pii(
         return ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     told = F.when(F.col("terms").isNotNull(), F.filter(_located_terms(F.col("text"), F.col("terms")), bare))
-    spans = F.concat("base", F.coalesce(told, F.array().cast(_SPANS)))
-    marked = rows.join(found, "doc", "left").select("given", spans.alias("spans"))
-    return marked.select("given.*", "spans")
+    none = F.array().cast(_SPANS)
+    spans = F.concat("base", F.coalesce(told, none))
+    # Only a text that holds an entity can have disclosing terms, so no other text moves.
+    marked = holding.join(found, "doc", "left").select("given", spans.alias("spans"))
+    plain = rows.filter(F.size("base") == 0).select("given", none.alias("spans"))
+    return plain.unionByName(marked).select("given.*", "spans")
 
 
 def sanitise(text: Column, spans: Column) -> Column:

@@ -363,3 +363,15 @@ def test_pipeline(spark, sf_dir):
     assert final.count() == docs.count() and final.filter("not lossless").count() == 0
     again = corpus_pipeline.run(spark, sf_dir)
     assert sorted((r["doc_id"], r["n_ids"]) for r in again.collect()) == sorted((r["doc_id"], r["n_ids"]) for r in final.collect())
+
+
+def test_texts_without_an_entity_are_not_shuffled(spark):
+    texts = [(i, f"mail kim{i}@lake.org about otters" if i < 3 else f"plain text {i}") for i in range(9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = find_pii(docs)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+    joined = [plan.children().apply(i).toString() for i in range(2)]
+    assert ["Join LeftOuter" in side for side in joined] == [False, True]
+    sizes = {r.doc_id: len(r.spans) for r in found.collect()}
+    assert all((sizes[i] > 0) == (i < 3) for i in range(9))
