@@ -233,3 +233,20 @@ def test_shared_dir_without_setting():
     assert shared_dir(local) == shared_dir(local) == local.folder
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(_Unset("spark://host:7077"))
+
+
+def test_painted_photos_and_images_reach_python_in_small_batches(spark, sf_dir, tmp_path):
+    parts = spark.range(2000).selectExpr("id AS p_partkey", "CAST(5 AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    from burstlens.session import tune
+
+    tune(spark)
+    painted = X.photos(spark, str(tmp_path)).coalesce(1)
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf[["image_id"]].head(1).assign(image_id=sum(map(len, pdf["data"])))
+
+    largest = painted.mapInPandas(sizes, "image_id bigint").agg(F.max("image_id")).first()[0]
+    total = painted.agg(F.sum(F.length("data"))).first()[0]
+    assert total > 12_000_000 and largest < 9_000_000
