@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -164,17 +165,18 @@ def existing_only(df: DataFrame, listing: DataFrame, column: str) -> DataFrame:
     return df.join(known, column, "left_semi")
 
 
-def join_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
+def join_annotations(
+    images: DataFrame, annotations: DataFrame, columns: Sequence[str] = ("bbox", "keypoints")
+) -> DataFrame:
     """One row per image and annotation, one with nulls for images without any.
 
     An image with very many annotations stays many rows, which adaptive skew join deals to
-    several tasks; nothing is collected into a list.
+    several tasks; nothing is collected into a list. The join hashes the images, so annotations
+    are not sorted, and only their ``columns`` travel.
     """
-    anns = annotations.select(
-        "image_id", F.col("id").alias("ann_id"), "bbox", "keypoints"
-    )
+    anns = annotations.select("image_id", F.col("id").alias("ann_id"), *columns)
     meta = images.select(F.col("id").alias("image_id"), "file_name", "width", "height")
-    matched = anns.join(meta, "image_id")
+    matched = anns.join(meta.hint("shuffle_hash"), "image_id")
     annotated = anns.select("image_id").distinct()
     bare = meta.join(annotated, "image_id", "left_anti")
     return matched.unionByName(bare, allowMissingColumns=True)
