@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burstlens.constants import IMAGE_SUFFIXES
 from burstlens.functions.names import suffix
+from burstlens.sources.files import list_files, opens
 
 
 def plain_path(uri: Column) -> Column:
@@ -22,11 +23,15 @@ def plain_path_text(uri: str) -> str:
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
-    """Image files below ``root`` (``path``, ``length``), known by suffix.
+    """Image files below ``root`` (``path``, ``length``), known by suffix; none is opened.
 
-    The content column is never selected, so no file is opened.
+    Tasks list the folders, so the driver does not hold the files; see ``sources.files``. Where only
+    Spark can open ``root``, its reader lists them in the driver.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if opens(root):
+        files = list_files(spark, root)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(plain_path(F.col("path")).alias("path"), "length").filter(
         suffix(F.col("path")).isin(*IMAGE_SUFFIXES)
     )
