@@ -63,11 +63,9 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT image_id, broken AS load_error FROM v_photos")
 def load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files that cannot be decoded stay in the table, marked."""
-    root = X.render_photos(spark, sf_dir)
-    images = R.read_images(spark, root).select("path", "decoded")
-    listed = R.list_images(spark, root).select("path").join(images, "path", "left")
+    images = R.read_images(spark, X.render_photos(spark, sf_dir))
     broken = ~F.coalesce(F.col("decoded"), F.lit(False))
-    return listed.select(_photo_id(F.col("path")).alias("image_id"), broken.alias("load_error"))
+    return images.select(_photo_id(F.col("path")).alias("image_id"), broken.alias("load_error"))
 
 
 @query(
