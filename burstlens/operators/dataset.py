@@ -35,7 +35,15 @@ def pivot_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
         "part_id", "part_name", F.col(order).alias("_rank")
     )
     rank = F.col("_rank")
-    if "place" in locs.columns:
+    if "place" in locs.columns and "bits" in locs.schema["place"].metadata:
+        # Counted within a name, so that rank and place share a long.
+        of_name = F.row_number().over(Window.partitionBy("part_name").orderBy("_rank", "part_id")) - 1
+        many = F.raise_error(F.lit("more than 256 part ids share a name")).cast("int")
+        wanted = wanted.withColumn("_rank", of_name).withColumn(
+            "_rank", F.when(rank < 256, rank).otherwise(many).cast("bigint")
+        )
+        rank = rank * F.lit(1 << locs.schema["place"].metadata["bits"]) - F.col("place")
+    elif "place" in locs.columns:
         above = rank.cast("decimal(6,0)") * F.lit(Decimal(1 << _PLACE_BITS))
         rank = (above - F.col("place")).cast(PLACE)
     named = locs.join(F.broadcast(wanted), "part_id").withColumn("_rank", rank)
