@@ -9,8 +9,11 @@ of an anchor travel as one context (``width`` plus a few units).
 1. Each text is hashed and cut into anchors once; that slim table is written.
 2. A range sort by anchor shows which occur again. Whole copies are set aside by their hash.
 3. Contexts of repeated anchors meet by anchor and a kernel finds the equal windows among them.
-   Anchors with more than ``HOT`` occurrences, or at the border of a range, go another exact
-   way: equal contexts, then equal windows, are aggregated by hash before and after a shuffle.
+   Of equal contexts only the first goes on, of those that one task reads already before they
+   meet. Anchors with more than ``HOT`` occurrences, or at the border of a range, are split by
+   what stands beside them: half of the windows share the units after the anchor, the others
+   those before it, so anchor and units together are a longer anchor. Anchors that still have
+   more than ``HOT`` different contexts are split again, until windows are their own anchors.
    A range border may fall inside an anchor, so that no anchor is bound to one task.
 4. Covered units are cut out of the texts that had repeated anchors.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from burstlens.llm.common import cuts, mix64, stored
 
-HOT = 1_000  # occurrences of an anchor that one kernel call may hold
+HOT = 1_000  # different contexts of an anchor that one kernel call may hold
 CHUNK = 1 << 18  # window starts that one numpy pass handles
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = np.uint64(28)
@@ -183,86 +186,59 @@ def _slim(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
     return stored(rows.mapInArrow(run, schema), "anchors")
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(most: int):
     """Of rows sorted by anchor, those whose anchor occurs again, and whether it is hot.
 
     The first and the last anchor of a partition may go on in the next one; they count as hot.
     """
-    names = ["row", "a", "start", "windows", "hot"]
-    held: list[pa.RecordBatch] = []
-    first = hot = None
-
-    def emit(table: pa.Table, pick: np.ndarray, is_hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if pick.any():
-            chosen = table.filter(pa.array(pick)).append_column(
-                "hot", pa.array(is_hot[pick])
-            )
-            yield from chosen.select(names).combine_chunks().to_batches()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        a = table.column("a").to_numpy()
-        if first is None:
-            first = a[0]
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        size = np.diff(starts, append=len(a))
-        is_hot = (size > HOT) | (a[starts] == first)
-        if hot is not None:
-            is_hot |= a[starts] == hot
-        cut = starts[-1]
-        if is_hot[-1]:  # more of it may come, but it is decided
-            hot, cut = a[-1], len(a)
-        whole = np.repeat(is_hot, size)[:cut]
-        pick = (whole | np.repeat(size > 1, size)[:cut])
-        yield from emit(table.slice(0, cut), pick, whole)
-        held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        rest = pa.Table.from_batches(held)
-        every = np.ones(rest.num_rows, bool)
-        yield from emit(rest, every, every)
-
-
-def _contexts(units: Callable, width: int, hot: bool):
-    """Contexts of the cold anchors of each text, or hashes of those of the hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = units()
+        names = ["row", "a", "start", "windows", "hot"]
+        held: list[pa.RecordBatch] = []
+        first = hot = None
+
+        def emit(table: pa.Table, pick: np.ndarray, is_hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if pick.any():
+                chosen = table.filter(pa.array(pick)).append_column(
+                    "hot", pa.array(is_hot[pick])
+                )
+                yield from chosen.select(names).combine_chunks().to_batches()
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                row, doc, tie = (batch.column(k)[i].as_py() for k in range(3))
-                marks = batch.column(4)[i].values
-                pick = np.flatnonzero(np.asarray(marks.field("hot")) == hot)
-                if not len(pick):
-                    continue
-                raw = u.raw(batch.column(3)[i].as_py())
-                start, windows = (np.asarray(marks.field(f))[pick] for f in ("start", "windows"))
-                size = raw.itemsize
-                data = raw.tobytes()
-                ends = (start + windows - 1 + width) * size
-                made = [data[x:y] for x, y in zip((start * size).tolist(), ends.tolist(), strict=True)]
-                k = len(pick)
-                columns = [
-                    marks.field("a").take(pa.array(pick)),
-                    *(pa.array(np.full(k, x, np.int64)) for x in (doc, tie, row)),
-                    pa.array(start),
-                    pa.array(windows),
-                    pa.array(list(map(xxhash.xxh3_128_digest, made)) if hot else made, pa.binary()),
-                ]
-                names = ["a", "doc", "tie", "row", "start", "windows", "context"]
-                if hot:
-                    grams = mix64(gram_hashes(u.hashes(raw), width)).view(np.int64)
-                    hashes = [grams[s : s + n] for s, n in zip(start, windows, strict=True)]
-                    columns.append(_lists(np.concatenate(hashes), windows, pa.int64()))
-                    names.append("hashes")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            a = table.column("a").to_numpy()
+            if first is None:
+                first = a[0]
+            starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            size = np.diff(starts, append=len(a))
+            is_hot = (size > most) | (a[starts] == first)
+            if hot is not None:
+                is_hot |= a[starts] == hot
+            cut = starts[-1]
+            if is_hot[-1]:  # more of it may come, but it is decided
+                hot, cut = a[-1], len(a)
+            whole = np.repeat(is_hot, size)[:cut]
+            pick = (whole | np.repeat(size > 1, size)[:cut])
+            yield from emit(table.slice(0, cut), pick, whole)
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            rest = pa.Table.from_batches(held)
+            every = np.ones(rest.num_rows, bool)
+            yield from emit(rest, every, every)
 
     return run
 
 
-_CONTEXT = "a bigint, doc bigint, tie bigint, row bigint, start int, windows int, context binary"
+# A context whose anchor is ``core`` units from ``pos`` on (-1: never split); ``key`` brings those
+# with the same anchor together. Without a context, the row's windows are known to be later ones.
+_WORK = (
+    "key bigint, doc bigint, tie bigint, row bigint, start int, windows int, pos int, core int, context binary"
+)
+_NAMES = ["key", "doc", "tie", "row", "start", "windows", "pos", "core", "context"]
+_BATCH_BYTES = 4_000_000  # of texts whose contexts are compared before they meet others
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,24 +247,157 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _cold(kernel: Callable, width: int, item: int, chunk_units: int):
-    """Ranges of units to remove, from contexts sorted by anchor and order of occurrence."""
+def halves(windows: np.ndarray, pos: np.ndarray, core: np.ndarray, width: int) -> tuple:
+    """Contexts of an anchor as contexts of two longer ones: index, first window, windows, pos, core.
+
+    A window has ``width - core`` units beside its anchor, so it holds half of them before the
+    anchor or half of them after it; its place among the windows says which.
+    """
+    rest = width - core
+    before = rest // 2 + 1
+    left = np.clip(pos - before + 1, 0, windows)
+    zero = np.zeros_like(left)
+    parts = (
+        np.concatenate([zero, left]),
+        np.concatenate([left, windows - left]),
+        np.concatenate([pos - before, pos - left]),
+        np.concatenate([core + before, core + rest - rest // 2]),
+    )
+    index = np.tile(np.arange(len(windows)), 2)
+    some = parts[1] > 0
+    return tuple(x[some] for x in (index, *parts))
+
+
+def _hash_keys(made: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, made), np.uint64, len(made)).view(np.int64)
+
+
+def _work(columns: list, context: pa.Array) -> pa.RecordBatch:
+    kinds = [np.int64] * 4 + [np.int32] * 4
+    arrays = [pa.array(np.asarray(c).astype(t)) for c, t in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, context], names=_NAMES)
+
+
+def _later(row: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    """Windows of these rows, by row and place, as known to be later ones; neighbours are joined."""
+    end = start + windows  # contexts of a text do not share windows
+    new = np.flatnonzero((np.diff(row, prepend=row[:1] - 1) != 0) | (start != np.concatenate([[-1], end[:-1]])[: len(row)]))
+    last = np.append(new[1:], len(row)) - 1 if len(new) else new
+    none = np.zeros(len(new), np.int64)
+    key = mix64((row[new] + start[new]).astype(np.uint64)).view(np.int64)  # deals them out
+    columns = [key, none, none, row[new], start[new], end[last] - start[new], none - 1, none]
+    return _work(columns, pa.nulls(len(new), pa.binary()))
+
+
+def _contexts(units: Callable, width: int, gram: int):
+    """Contexts of the repeated anchors of each text, equal ones once; hot anchors are split."""
+
+    def made(u, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, doc, tie = (np.asarray(batch.column(k)) for k in range(3))
+        raws = [u.raw(t) for t in batch.column(3).to_pylist()]
+        marks = batch.column(4).flatten()
+        counts = batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(row)), counts)
+        key, start, windows = (np.asarray(marks.field(f)).astype(np.int64) for f in ("a", "start", "windows"))
+        hot = marks.field("hot").to_numpy(zero_copy_only=False)
+        base = np.cumsum([0, *map(len, raws)])
+        raw = np.concatenate(raws)
+        size, data = raw.itemsize, raw.tobytes()
+        pos, core = np.full(len(of), -1), np.zeros(len(of), np.int64)
+        split = np.flatnonzero(hot)
+        if len(split):
+            mixed = mix64(gram_hashes(u.hashes(raw), gram)) >> _PLACE_BITS
+            begin = (base[of] + start)[split]
+            place = np.concatenate(
+                [
+                    mixed[begin[i : i + 10_000, None] + np.arange(width - gram + 1)].argmin(axis=1)
+                    for i in range(0, len(begin), 10_000)
+                ]
+            )
+            index, first, n, at, long = halves(windows[split], place, np.full(len(split), gram), width)
+            x = begin[index] + first + at
+            keys = _hash_keys(
+                [data[i:j] for i, j in zip((x * size).tolist(), ((x + long) * size).tolist(), strict=True)]
+            )
+            cold = ~hot
+            of = np.concatenate([of[cold], of[split][index]])
+            start = np.concatenate([start[cold], start[split][index] + first])
+            windows, key = np.concatenate([windows[cold], n]), np.concatenate([key[cold], keys])
+            pos, core = np.concatenate([pos[cold], at]), np.concatenate([core[cold], long])
+        rank = np.empty(len(row), np.int64)
+        rank[np.lexsort((row, tie, doc))] = np.arange(len(row))
+        order = np.lexsort((start, rank[of]))
+        of, start, windows, key, pos, core = (x[order] for x in (of, start, windows, key, pos, core))
+        lo = (base[of] + start) * size
+        hi = lo + (windows - 1 + width) * size
+        contexts = pa.array([data[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+        first, later = _equal(contexts, row[of], start)
+        if len(later):
+            yield _later(row[of][later], start[later], windows[later])
+        columns = [x[first] for x in (key, doc[of], tie[of], row[of], start, windows, pos, core)]
+        yield _work(columns, contexts.take(pa.array(first)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = units()
+        for batch in batches:
+            for lo, hi in cuts(batch.column(3), _BATCH_BYTES):
+                yield from made(u, batch.slice(lo, hi - lo))
+
+    return run
+
+
+def _equal(contexts: pa.Array, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts in order of occurrence, the first of each, and those that equal an earlier one.
+
+    Equal contexts have the same anchor. A row that came twice is no other one.
+    """
+    code = contexts.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else code
+    lead = first[code]
+    return first, np.flatnonzero((row != row[lead]) | (start != start[lead]))
+
+
+def _settle(kernel: Callable, width: int, item: int, chunk_units: int, most: int):
+    """Windows to remove, from contexts sorted by anchor and order of occurrence.
+
+    Contexts of an anchor that has more than ``most`` different ones come back split.
+    """
     kind = np.uint8 if item == 1 else np.uint64
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        a, doc, tie, row, start, windows = (table.column(k).to_numpy() for k in range(6))
-        contexts = table.column(6).combine_chunks()
-        code = contexts.dictionary_encode().indices.to_numpy().astype(np.int64)
-        group = np.cumsum(np.diff(a, prepend=a[:1]) != 0)
-        _, first, which = np.unique(group * len(a) + code, return_index=True, return_inverse=True)
-        lead = first[which]
-        # All windows of an equal context occur earlier; a row that came twice is no other one.
-        later = np.flatnonzero((row != row[lead]) | (start != start[lead]))
-        found = [(row[later], start[later], start[later] + windows[later] - 1 + width)]
-        first.sort()
+    def split(table: pa.Table) -> pa.RecordBatch:
+        columns = [table.column(k).to_numpy().astype(np.int64) for k in range(1, 8)]
+        contexts = table.column(8).to_pylist()
+        index, first, n, at, long = halves(*columns[4:], width)
+        made, cores = [], []
+        steps = (index, first * item, (first + n - 1 + width) * item, (first + at) * item, (first + at + long) * item)
+        for i, x, y, begin, end in zip(*(s.tolist() for s in steps), strict=True):
+            made.append(contexts[i][x:y])
+            cores.append(contexts[i][begin:end])
+        moved = [c[index] for c in columns[:3]]
+        return _work([_hash_keys(cores), *moved, columns[3][index] + first, n, at, long], pa.array(made, pa.binary()))
+
+    def distinct(table: pa.Table) -> tuple[pa.Table, list[pa.RecordBatch]]:
+        """The first of equal contexts, and what is settled by them."""
+        row, start, windows = (table.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5))
+        first, later = _equal(table.column(8).combine_chunks(), row, start)
+        by_place = later[np.lexsort((start[later], row[later]))]
+        found = [_later(row[by_place], start[by_place], windows[by_place])] if len(later) else []
+        return table.take(pa.array(first)), found
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table, found = distinct(table)
+        yield from found
+        key, doc, tie, row, start, windows, pos, core = (table.column(k).to_numpy() for k in range(8))
+        group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        n_same = np.bincount(group)[group]
+        much = (n_same > most) & (pos >= 0) & (core < width)
+        if much.any():
+            yield split(table.filter(pa.array(much)))
         # Equal windows share their anchor, so the one context of an anchor has no partner.
-        several = first[np.bincount(group)[group[first]] > 1]
-        several = several[np.bincount(group[several])[group[several]] > 1] if len(several) else several
+        several = np.flatnonzero((n_same > 1) & ~much)
+        if not len(several):
+            return
+        contexts = table.column(8).combine_chunks()
         sizes = windows[several].astype(np.int64) - 1 + width
         begins = np.flatnonzero(np.diff(group[several], prepend=-1))
         part = (np.cumsum(sizes) - sizes)[begins] // chunk_units
@@ -308,68 +417,47 @@ def _cold(kernel: Callable, width: int, item: int, chunk_units: int):
             x, y = runs_of(gaps)
             at = np.searchsorted(ends + np.arange(len(ends)), x, side="right")
             shift = start[own][at] - (ends - owned)[at] - at
-            found.append((row[own][at], x + shift, y + shift - 1 + width))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32), strict=True)],
-            names=["row", "lo", "hi"],
-        )
+            if len(x):
+                rows, begin = row[own][at], x + shift
+                by_place = np.lexsort((begin, rows))
+                yield _later(rows[by_place], begin[by_place], (y - x)[by_place])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        over = None
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=_NAMES)
+            yield batch.filter(batch.column(8).is_null())
+            batch = batch.filter(batch.column(8).is_valid())
+            same = batch.column(0).to_numpy() == over if over is not None else np.zeros(batch.num_rows, bool)
+            if same.any():
+                yield split(pa.Table.from_batches([batch.filter(pa.array(same))]))
+                batch = batch.filter(pa.array(~same))
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) < 20_000:
                 continue
             table = pa.Table.from_batches(held)
-            a = table.column(0).to_numpy()
-            before = np.flatnonzero(a != a[-1])
-            if len(before):  # the last anchor may go on
-                cut = int(before[-1]) + 1
-                yield solve(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
+            key = table.column(0).to_numpy()
+            before = np.flatnonzero(key != key[-1])
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield from solve(table.slice(0, cut))
+            rest = table.slice(cut).combine_chunks()  # the last anchor may go on
+            if rest.num_rows > most:
+                rest, found = distinct(rest)
+                yield from found
+                if rest.num_rows > most and rest.column(6)[0].as_py() >= 0 and rest.column(7)[0].as_py() < width:
+                    over = key[-1]
+                    yield split(rest)
+                    rest = rest.slice(0, 0)
+            held = rest.to_batches()
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
 
-def _hot_ranges(hot: DataFrame, width: int) -> DataFrame:
-    """Ranges to remove for anchors that occur too often to meet in one task.
-
-    Aggregates see at most one row per key and task; equal contexts are settled first, so that
-    a passage shared by many texts leaves only its borders for the second step.
-    """
-    at = F.struct("doc", "tie", "row", "start").alias("at")
-    keyed = hot.select("a", "context", "windows", "hashes", at)
-    first = keyed.groupBy("a", "context").agg(F.min("at").alias("first"))
-    both = keyed.join(first, ["a", "context"])
-    later = both.filter(F.col("at") > F.col("first")).select(
-        F.col("at.row").alias("row"),
-        F.col("at.start").alias("lo"),
-        (F.col("at.start") + F.col("windows") - 1 + width).alias("hi"),
-    )
-    single = (
-        both.filter(F.col("at") == F.col("first"))
-        .select("a", "at", F.posexplode("hashes").alias("nth", "window"))
-        .select(
-            "a",
-            "window",
-            F.struct("at.doc", "at.tie", "at.row", (F.col("at.start") + F.col("nth")).alias("start")).alias("at"),
-        )
-    )
-    earliest = single.groupBy("a", "window").agg(F.min("at").alias("first"))
-    again = single.join(earliest, ["a", "window"]).filter(F.col("at") > F.col("first"))
-    return later.unionByName(
-        again.select(
-            F.col("at.row").alias("row"),
-            F.col("at.start").alias("lo"),
-            (F.col("at.start") + width).alias("hi"),
-        )
-    )
-
-
 def _cut_out(units: Callable):
     """Sizes and hash of what is left of each text without the ranges given for it."""
 
@@ -431,7 +519,7 @@ def remove_repeats(
     ).select("row", "m.*")
     sorted_ = marks.repartitionByRange("a", "row").sortWithinPartitions("a", "row")
     again = sorted_.mapInArrow(
-        _repeated, "row bigint, a bigint, start int, windows int, hot boolean"
+        _repeated(HOT), "row bigint, a bigint, start int, windows int, hot boolean"
     )
     per_row = again.groupBy("row").agg(
         F.collect_list(F.struct("a", "start", "windows", "hot")).alias("marks")
@@ -440,16 +528,16 @@ def remove_repeats(
     concerned = stored(
         rows.join(wanted.hint("merge"), ["doc", "tie"]).select("row", "doc", "tie", "text", "marks"), "repeats"
     )
-    cold = (
-        concerned.mapInArrow(_contexts(units, width, False), _CONTEXT)
-        .repartition("a")
-        .sortWithinPartitions("a", "doc", "tie", "row", "start")
-        .mapInArrow(_cold(kernel, width, units.item, chunk_units), "row bigint, lo int, hi int")
-    )
-    hot = concerned.mapInArrow(
-        _contexts(units, width, True), _CONTEXT + ", hashes array<bigint>"
-    )
-    ranges = stored(cold.unionByName(_hot_ranges(hot, width)), "ranges")
+    work = concerned.mapInArrow(_contexts(units, width, gram), _WORK)
+    solve = _settle(kernel, width, units.item, chunk_units, HOT)
+    lo, hi = F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1 + width).alias("hi")
+    ranges = None
+    while ranges is None or not work.isEmpty():  # anchors grow to whole windows in a few rounds
+        met = work.repartition("key").sortWithinPartitions("key", "doc", "tie", "row", "start")
+        done = stored(met.mapInArrow(solve, _WORK), "ranges")
+        found = done.filter("context IS NULL").select("row", lo, hi)
+        ranges = found if ranges is None else ranges.unionByName(found)
+        work = done.filter("context IS NOT NULL")
     per_text = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     changed = (
         concerned.select("row", "text")

@@ -114,3 +114,38 @@ def test_rotations_of_bytes_and_words():
         turned = [bytes(np.roll(text, -p)) for p in order]
         assert turned == sorted(turned)
     assert suffix_merge.WIDTH % suffix_merge.STEP == 0
+
+
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_hot_anchors_are_split_not_exploded(spark, monkeypatch, hot):
+    """op6: hot anchors were exploded into windows that met in a join."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    for size in (40, 70, 95, 99, 100, 130):
+        line = letters(size)
+        near = [letters(30) for _ in range(3)]
+        docs = [(i, f"{letters(80)}{rng.choice(near)}{line}{rng.choice(near)}{letters(60)}") for i in range(60)]
+        docs += [(60, line * 5), (61, docs[4][1][20:]), (62, docs[9][1][:-30] + letters(200))]
+        found = run(spark, [(*d, "clash") for d in docs], dedup_suffixes, "n_bytes")
+        assert found == brute(docs, 100, lambda t: list(t.encode()), bytes)
+        spaced = [(k, " ".join(t)) for k, t in docs]
+        found = run(spark, [(*d, "clash") for d in spaced], dedup_substrings, "n_words")
+        assert found == brute(spaced, 20, lambda t: t.encode().split(), b" ".join)
+    plan = dedup_suffixes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_halves_keep_every_window():
+    """op6: each window of a context stays in one part, and each part's anchor in all its windows."""
+    rng = np.random.default_rng(1)
+    for width, core in ((100, 32), (100, 99), (20, 8), (20, 19)):
+        pos = rng.integers(0, width - core + 1, 200)
+        windows = np.array([rng.integers(1, p + 1 + 1) if p else 1 for p in pos])
+        index, first, n, at, long = repeats.halves(windows, pos, np.full(200, core), width)
+        assert (long > core).all() and (long <= width).all()
+        covered = [[] for _ in pos]
+        for i, f, k, a, c in zip(index, first, n, at, long, strict=True):
+            covered[i] += range(f, f + k)
+            assert a - (k - 1) >= 0 and a + c <= width  # inside the last and the first window
+        assert [sorted(c) for c in covered] == [list(range(w)) for w in windows]
