@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from burstlens.session import scratch_path
 
 _BATCH = 2000  # names or files that a task holds as a frame
+_BATCH_BYTES = 8 << 20
 
 
 def _uri(root: str) -> str:
@@ -100,3 +103,34 @@ def read_texts(names: DataFrame, root: str, name: str = "file") -> DataFrame:
                 yield part.assign(value=texts)
 
     return names.select(name).mapInPandas(read, f"{name} string, value string")
+
+
+def read_packed(spark: SparkSession, root: str) -> DataFrame:
+    """``file`` and ``value``, the whole text of each file in the packs below ``root``.
+
+    See ``sinks.write_keyed_files``. Tasks list the packs and stream their members; a task holds the
+    index of one pack, and the texts of _BATCH members or _BATCH_BYTES.
+    """
+    skip = len(root.rstrip("/").removesuffix(_files(root)[1]))
+
+    def read(batches: Iterator):
+        import pandas as pd
+
+        files, _ = _files(root)
+        for batch in batches:
+            for path in batch["path"]:
+                with files.open_input_file(path[skip:]) as source, zipfile.ZipFile(source) as pack:
+                    names, texts, size = [], [], 0
+                    for name in pack.namelist():
+                        names.append(name)
+                        texts.append(pack.read(name).decode())
+                        size += len(texts[-1])
+                        if len(names) >= _BATCH or size >= _BATCH_BYTES:
+                            yield pd.DataFrame({"file": names, "value": texts})
+                            names, texts, size = [], [], 0
+                    if names:
+                        yield pd.DataFrame({"file": names, "value": texts})
+
+    packs = list_files(spark, root).filter(F.endswith("path", F.lit(".zip"))).select("path")
+    spread = packs.repartition(spark.sparkContext.defaultParallelism)
+    return spread.mapInPandas(read, "file string, value string")
