@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from burstlens.operators.scoring import score_files
 from burstlens.schemas import DETECTION
-from burstlens.sources.images import read_images
+from burstlens.sources.images import image_files, read_images
 
 PredictFn = Callable[[pd.DataFrame], list[list[dict]]]
 
@@ -59,11 +59,12 @@ def score_folder(
     """Image files below ``root`` to one scored row per file, in one call.
 
     Detections come from a table with the files' ``path`` or from a model; see
-    ``scoring.score_files`` for the rows.
+    ``scoring.score_files`` for the rows. With a table, files are decoded behind the join.
     """
     if (detections is None) == (make_predict_fn is None):
         raise ValueError("give either detections or make_predict_fn")
-    images = read_images(spark, root)
     if make_predict_fn is not None:
-        images = with_detections(images, make_predict_fn)
-    return score_files(images, detections, orientations, **options)
+        images = with_detections(read_images(spark, root), make_predict_fn)
+        return score_files(images, None, orientations, **options)
+    files, decode = image_files(spark, root)
+    return score_files(files, detections, orientations, pixels=decode, **options)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlens import sources as R
@@ -36,9 +36,12 @@ def _below(root: str) -> F.Column:
 @query("SELECT file, image_id FROM v_photos")
 def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files known by suffix; text files among them are left out."""
-    root = X.render_photos(spark, sf_dir)
-    listed = R.list_images(spark, root)
-    return listed.select(_below(root).alias("file"), _photo_id(F.col("path")).alias("image_id"))
+
+    def scan(root: str, lot: Column) -> DataFrame:
+        listed = R.list_images(spark, root)
+        return listed.select(_below(root).alias("file"), _photo_id(F.col("path")).alias("image_id"))
+
+    return X.in_lots(spark, sf_dir, "listed", scan)
 
 
 _ALL_BYTES = """printf('%02x%02x%02x', ((i % width) * (i // width) + image_id * 5) % 256,
@@ -53,19 +56,26 @@ FROM v_photos WHERE NOT broken"""
 )
 def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded pixels of the image files."""
-    images = R.read_images(spark, X.render_photos(spark, sf_dir)).filter("decoded")
-    return images.select(
-        _photo_id(F.col("path")).alias("image_id"), "width", "height", "n_channels",
-        F.md5("data").alias("body"),
-    )
+
+    def scan(root: str, lot: Column) -> DataFrame:
+        return R.read_images(spark, root).filter("decoded").select(
+            _photo_id(F.col("path")).alias("image_id"), "width", "height", "n_channels",
+            F.md5("data").alias("body"),
+        )
+
+    return X.in_lots(spark, sf_dir, "scanned", scan)
 
 
 @query("SELECT image_id, broken AS load_error FROM v_photos")
 def load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files that cannot be decoded stay in the table, marked."""
-    images = R.read_images(spark, X.render_photos(spark, sf_dir))
     broken = ~F.coalesce(F.col("decoded"), F.lit(False))
-    return images.select(_photo_id(F.col("path")).alias("image_id"), broken.alias("load_error"))
+
+    def scan(root: str, lot: Column) -> DataFrame:
+        images = R.read_images(spark, root)
+        return images.select(_photo_id(F.col("path")).alias("image_id"), broken.alias("load_error"))
+
+    return X.in_lots(spark, sf_dir, "load-errors", scan)
 
 
 @query(

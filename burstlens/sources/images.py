@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ _FEW = 10_000  # files that the driver may hold by name
 _HEAD = 54
 _TASK_BYTES = 64 << 20  # of image files that a task decodes
 _BATCH_BYTES = 8 << 20
-_IMAGE = "image struct<origin string, width int, height int, nChannels int, mode int, data binary>"
+_IMAGE = "struct<origin string, width int, height int, nChannels int, mode int, data binary>"
 
 
 def _bitmap_dims(head: bytes, length: int) -> tuple[int, int] | None:
@@ -102,48 +104,51 @@ def _sort_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(kept).parquet(table)
 
 
-def _bitmaps(files: DataFrame, root: str, tasks: int) -> DataFrame:
-    """What Spark's image source gives for files of the kinds ``bitmap`` and ``none``."""
+def _decoder(root: str):
+    """A function of ``uri`` and ``kind`` to what Spark's image source gives for the file.
+
+    Null without a kind. A task holds the pixels of _BATCH_BYTES, or of one larger file.
+    """
     base_root, dims, most, mode = root, _bitmap_dims, _BATCH_BYTES, 16  # as OpenCV names 3 x 8 bits
 
-    def rows(batches):
+    def rows(uris, kinds):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(base_root if ":/" in base_root else f"file://{base_root}")
         skip = len(base_root.rstrip("/").removesuffix(base.rstrip("/")))
-        for batch in batches:
-            for path, kind in zip(batch["path"].to_pylist(), batch["kind"].to_pylist(), strict=True):
-                if kind == "none":
-                    yield path, -1, -1, -1, -1, b""
-                    continue
-                with store.open_input_stream(path[skip:], buffer_size=0) as source:
-                    body = source.read()
-                w, h = dims(body[:_HEAD], len(body))
-                step = (w * 3 + 3) // 4 * 4
-                starts = range(_HEAD + step * (h - 1), _HEAD - 1, -step)  # lines run from the bottom up
-                yield path, w, h, 3, mode, b"".join(body[i : i + w * 3] for i in starts)
-
-    def decode(batches):
-        import pyarrow as pa
-
-        kinds = (pa.string(), *[pa.int32()] * 4, pa.binary())
+        for uri, kind in zip(uris.to_pylist(), kinds.to_pylist(), strict=True):
+            if kind != "bitmap":
+                yield None if kind is None else (uri, -1, -1, -1, -1, b"")
+                continue
+            with store.open_input_stream(uri[skip:], buffer_size=0) as source:
+                body = source.read()
+            w, h = dims(body[:_HEAD], len(body))
+            step = (w * 3 + 3) // 4 * 4
+            starts = range(_HEAD + step * (h - 1), _HEAD - 1, -step)  # lines run from the bottom up
+            yield uri, w, h, 3, mode, b"".join(body[i : i + w * 3] for i in starts)
+
+    @F.arrow_udf(_IMAGE)
+    def image(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         names = ("origin", "width", "height", "nChannels", "mode", "data")
+        kinds = (pa.string(), *[pa.int32()] * 4, pa.binary())
 
         def packed(some):
-            columns = [pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names)], ["image"])
-
-        held, size = [], 0
-        for row in rows(batches):
-            held.append(row)
-            size += len(row[-1])
-            if size >= most or len(held) >= 10_000:
+            columns = [pa.array(c, k) for c, k in zip(zip(*[r or (None,) * 6 for r in some], strict=True), kinds, strict=True)]
+            return pa.StructArray.from_arrays(columns, names, mask=pa.array([r is None for r in some]))
+
+        for uris, found in batches:
+            held, size = [], 0
+            for row in rows(uris, found):
+                held.append(row)
+                size += len(row[-1]) if row else 0
+                if size >= most:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
                 yield packed(held)
-                held, size = [], 0
-        if held:
-            yield packed(held)
 
-    return files.select("path", "kind").repartition(tasks).mapInArrow(decode, _IMAGE)
+    # Not to be told twice: a filter on what is decoded would otherwise be pushed below, with a decoding of its own.
+    return image.asNondeterministic()
 
 
 def _source(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -151,26 +156,53 @@ def _source(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reader.option("pathGlobFilter", _suffix_glob()).load(paths)
 
 
-def _decoded(spark: SparkSession, root: str) -> DataFrame:
-    """Column ``image`` of all image files below ``root``, as Spark's image source gives it.
+def image_files(
+    spark: SparkSession, root: str, spread: bool = False
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Image files below ``root`` by ``path``, and what adds the columns of ``read_images`` to their rows.
 
-    That source lists files in the driver, so plain bitmaps are decoded by tasks; the source gets
-    the other files by name if they are few, and the whole folder if not (open: their listing).
+    The rows may meet others before, so that no pixels move with them: tasks decode plain bitmaps only
+    when the second part of the result is applied. Spark's image source, which lists files in the
+    driver, gets the other files by name if they are few, and the whole folder if not (open: their
+    listing); what it decodes is in the rows from the start. ``spread`` deals the files to tasks by
+    their bytes, for rows that no join deals anew.
     """
     if not opens(root):
-        return _source(spark, root)
+        return _early(_source(spark, root)), _columns
     files = _sort_files(spark, root)
-    other = files.filter("kind = 'other'")
-    names = [r.path for r in other.select("path").limit(_FEW + 1).collect()]
+    names = [r.path for r in files.filter("kind = 'other'").select("path").limit(_FEW + 1).collect()]
     if len(names) > _FEW or any(c in n for n in names for c in "*?[]{}\\,"):
-        return _source(spark, root)
-    size = files.agg(F.sum("length")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, size // _TASK_BYTES)
-    images = _bitmaps(files.filter("kind <> 'other'"), root, tasks)
+        return _early(_source(spark, root)), _columns
+    late = files.filter("kind <> 'other'").select(
+        plain_path(F.col("path")).alias("path"), F.col("path").alias("_uri"), F.col("kind").alias("_kind")
+    )
+    if spread:
+        size = files.agg(F.sum("length")).first()[0] or 0
+        late = late.repartition(max(spark.sparkContext.defaultParallelism, size // _TASK_BYTES))
+    decode = _decoder(root)("_uri", "_kind")
     if not names:
-        return images
+        return late, lambda rows: _columns(rows.withColumn("image", decode))
+    listed = late.unionByName(_early(_source(spark, names)), allowMissingColumns=True)
+    return listed, lambda rows: _columns(rows.withColumn("image", F.coalesce("image", decode)))
+
+
+def _early(images: DataFrame) -> DataFrame:
+    """What Spark's image source has decoded, by path."""
     fields = [F.col(f"image.{n}") for n in ("origin", "width", "height", "nChannels", "mode", "data")]
-    return images.unionByName(_source(spark, names).select(F.struct(*fields).alias("image")))
+    return images.select(plain_path(F.col("image.origin")).alias("path"), F.struct(*fields).alias("image"))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    """Rows with the column ``image`` taken apart."""
+    return rows.withColumns(
+        {
+            "width": F.col("image.width"),
+            "height": F.col("image.height"),
+            "n_channels": F.col("image.nChannels"),
+            "data": F.col("image.data"),
+            "decoded": F.col("image.width") > 0,
+        }
+    ).drop("image", "_uri", "_kind")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
@@ -179,12 +211,5 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     ``data`` is row-wise BGR (one channel for gray, four with alpha). A file that cannot
     be decoded stays in the table with ``decoded = false``; other files are not opened.
     """
-    images = _decoded(spark, root)
-    return images.select(
-        plain_path(F.col("image.origin")).alias("path"),
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("n_channels"),
-        F.col("image.data").alias("data"),
-        (F.col("image.width") > 0).alias("decoded"),
-    )
+    files, decode = image_files(spark, root, spread=True)
+    return decode(files)
